@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formatting, overlap
+from . import bpe, formatting, overlap, passages, responses, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return responses.defects(table(spark, sf, "translations"))
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return responses.rates(table(spark, sf, "translations"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.found(table(spark, sf, "eval_pairs"), table(spark, sf, "pairs"))
 
@@ -28,5 +36,29 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return formatting.collapsed(table(spark, sf, "pairs"))
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(table(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.leaks(table(spark, sf, "documents"), table(spark, sf, "test_passages"))
+
+
+def p9_per_passage(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.per_passage(table(spark, sf, "documents"), table(spark, sf, "test_passages"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.found(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "doc_labels")).select("doc_id", "severity")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.rates(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
