@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, formatting, overlap, passages, responses, toxicity
+from . import bpe, encoding, formatting, language, neardup, overlap, passages, responses, toxicity, unify
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.found(table(spark, sf, "pairs"))
+
+
+def p1_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.restored(table(spark, sf, "pairs"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = table(spark, sf, "pairs")
+    return unify.found(pairs, encoding.found(pairs))
+
+
+def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
+    return unify.one_form(table(spark, sf, "pairs"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return responses.defects(table(spark, sf, "translations"))
 
@@ -36,6 +53,21 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return formatting.collapsed(table(spark, sf, "pairs"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = table(spark, sf, "pairs")
+    return neardup.near_pairs(pairs, encoding.found(pairs))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = table(spark, sf, "pairs")
+    return language.found(table(spark, sf, "mono_docs"), pairs, encoding.found(pairs))
+
+
+def p7_segments(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "mono_docs")
+    return language.documents(docs, language.train(docs), all_rows=True)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents"))
 
