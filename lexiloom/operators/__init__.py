@@ -1 +1 @@
-
+"""Operators from table to table."""
