@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .unify import folded
+
 LANGS = ["kaz", "rus", "kir", "eng", "tur", "ukr", "uzb"]
 MIXED = "mul"
 # Spellings of the language codes before any script suffix.
@@ -206,8 +208,13 @@ def cells(pairs: DataFrame, matrix: np.ndarray, id_col="pair_id", columns=(("kk"
         for b in batches:
             ids = b.column(0).to_pylist()
             for k, (field, expected) in enumerate(columns):
-                s, n = score(m, [t or "" for t in b.column(k + 1).to_pylist()])
+                texts = [t or "" for t in b.column(k + 1).to_pylist()]
+                s, n = score(m, texts)
                 e = LANGS.index(expected)
+                # look-alike letters are no sign of another language
+                again = [i for i in np.flatnonzero((s.argmax(1) != e) & (n >= 3)).tolist() if folded(texts[i]) != texts[i]]
+                if again:
+                    s[again] = score(m, [folded(texts[i]) for i in again])[0]
                 prior = np.full((1, len(LANGS)), (1 - CELL_PRIOR) / (len(LANGS) - 1))
                 prior[0, e] = CELL_PRIOR
                 p = posterior(s, prior)

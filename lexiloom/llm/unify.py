@@ -8,7 +8,8 @@ broadcast tables (fixed values of Unicode and the look-alike letters below):
 * combining marks are put in order of their class behind their letter, and letter and
   marks are recomposed;
 * look-alikes: in a word with Cyrillic letters whose other letters all look Cyrillic,
-  those become Cyrillic.  Words wholly in one other script stay.
+  those become Cyrillic, as do words wholly of Greek letters that look Cyrillic.  Words
+  wholly in Latin script stay.
 
 Then the string is rebuilt.  One shuffle by cell carries all steps, and only cells with
 an unusual character or a word of two scripts take part; the others are in the one
@@ -18,6 +19,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,13 +34,32 @@ MARKS = f"{chr(0x300)}-{chr(0x36F)}"
 WIDE = f"{chr(0xFF01)}-{chr(0xFF5E)}"
 _CYR = f"{chr(0x400)}-{chr(0x52F)}"
 _OTHER = f"A-Za-z{chr(0xC0)}-{chr(0x2AF)}{chr(0x370)}-{chr(0x3FF)}"
-CANDIDATE = f"[{WIDE}{SPACES}{INVISIBLE}{MARKS}]|[{_CYR}][{_OTHER}]|[{_OTHER}][{_CYR}]"
+GREEK = f"{chr(0x370)}-{chr(0x3FF)}"
+CANDIDATE = f"[{WIDE}{SPACES}{INVISIBLE}{MARKS}{GREEK}]|[{_CYR}][{_OTHER}]|[{_OTHER}][{_CYR}]"
 
 
 def lookalikes() -> dict[str, str]:
     return dict(zip(LOOKALIKE_FROM, LOOKALIKE_TO, strict=True))
 
 
+_MIXED = re.compile(f"[{_CYR}][{_OTHER}]|[{_OTHER}][{_CYR}]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def folded(text: str) -> str:
+    """A text with a word of two scripts, with the look-alikes of all its words Cyrillic."""
+    if not _MIXED.search(text):
+        return text
+    look = lookalikes()
+    cyrillic = re.compile(f"[{_CYR}]")
+
+    def fold(m):
+        w = m.group()
+        return "".join(look.get(ch, ch) for ch in w) if all(ch in look or cyrillic.match(ch) for ch in w) else w
+
+    return _WORD.sub(fold, text)
+
+
 def decompositions() -> dict[str, str]:
     out = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     return out | dict.fromkeys(SPACES, " ") | dict.fromkeys(INVISIBLE, "")
@@ -94,7 +115,9 @@ def unified(rows: DataFrame, id_col="pair_id", fields=("kk", "ru")) -> DataFrame
     by_word = Window.partitionBy("id", "field", "word")
     cyr = F.col("ch").rlike(f"^[{_CYR}]")
     strange = F.col("letter") & ~cyr & F.col("look").isNull()
-    c = c.withColumn("mixed", F.max(cyr).over(by_word) & ~F.max(strange).over(by_word))
+    latin = F.col("letter") & ~cyr & ~F.col("ch").rlike(f"^[{GREEK}]")
+    held_by = F.max(cyr).over(by_word) | ~F.max(latin).over(by_word)
+    c = c.withColumn("mixed", held_by & ~F.max(strange).over(by_word))
     swap = F.col("letter") & F.col("look").isNotNull() & F.col("mixed")
     c = c.select("id", "field", "cluster", F.when(swap, F.col("look")).otherwise(F.col("ch")).alias("ch"), (F.col("hit") | swap).alias("hit"))
     # rebuild
