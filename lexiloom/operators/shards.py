@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as fx
 from .dedup import keep_first
 
 MAPPED = "index long, source string, translation string, status string, error string"
@@ -33,7 +34,7 @@ def validation(records: DataFrame, expected: DataFrame, order: list[str], index:
     ok = there & F.coalesce(F.col("status") == "ok", F.lit(False))
     first = F.row_number().over(Window.partitionBy(index).orderBy(F.when(ok, 0).otherwise(1), *order))
     d = d.withColumn("_rn", F.when(ok, first))
-    src, out = F.trim(F.coalesce("source", F.lit(""))), F.trim(F.coalesce("translation", F.lit("")))
+    src, out = fx.strip("source"), fx.strip("translation")
     flags = {
         "records": F.lit(True),
         "out_of_range": ~there,

@@ -235,7 +235,7 @@ def expected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EXPECT}, j AS (SELECT t.*, e.want, e.line_index IS NOT NULL AS there, e.line_index IS NOT NULL AND coalesce(t.status = 'ok', false) AS good,
- trim(coalesce(t.source, '')) AS s2, trim(coalesce(t.translation, '')) AS o2 FROM translations t LEFT JOIN exp e USING (line_index)),
+ regexp_replace(coalesce(t.source, ''), '{ENDS}', '', 'g') AS s2, regexp_replace(coalesce(t.translation, ''), '{ENDS}', '', 'g') AS o2 FROM translations t LEFT JOIN exp e USING (line_index)),
  k AS (SELECT *, row_number() OVER (PARTITION BY line_index ORDER BY CASE WHEN good THEN 0 ELSE 1 END, record_id) AS rn FROM j),
  m AS (SELECT count(*) AS missing, min(line_index) AS first_missing FROM exp WHERE line_index NOT IN (SELECT line_index FROM translations WHERE status = 'ok' AND line_index IS NOT NULL))
  SELECT (SELECT count(*) FROM exp) AS expected, count(*) AS records, count(*) FILTER (NOT there) AS out_of_range, count(*) FILTER (there AND source IS DISTINCT FROM want) AS source_mismatch,
