@@ -18,6 +18,7 @@ labels are ignored; without any positive label every score is 0.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 1500
 BITS = 18
 MASK = (1 << BITS) - 1
-ROUNDS, STEPS, L2 = 4, 60, 2e-6
+ROUNDS, STEPS, L2 = 4, 60, 0.5
 
 TAG = re.compile(r"<[^<>]{0,200}>")
 END = re.compile(r"(?<=[.!?…])\s+|\n+")
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[-.*_·][^\W\d_]){2,}(?![^\W_])")
 TOKEN = re.compile(r"[^\W\d_]+(?:[#@*_$%&]+[^\W\d_]*)*")
+MASKED = 77  # the feature of all words with a mask
+MASKS = re.compile(r"[#@*_$%&]+")
 LONG = re.compile(r"(.)\1{2,}")
 # Letters that look alike, written in the other script.
 _LATIN, _CYRILLIC = "aceopxyiukmthbrnɵə", "асеорхуіикмтһвгпөә"
@@ -43,9 +46,9 @@ _CYR = re.compile(r"[Ѐ-ӿ]")
 def fold(word: str) -> str:
     """A word of a sentence in one form; masks become ``*``."""
     w = LONG.sub(r"\1", word)
-    if _CYR.search(w):
-        w = w.translate(FOLD)
-    return re.sub(r"[#@*_$%&]+", "*", w)
+    if not w.isascii():
+        w = w.translate(FOLD) if _CYR.search(w) else w
+    return MASKS.sub("*", w) if not w.isalpha() else w
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -58,11 +61,7 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def _hash(s: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in s.encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    h ^= h >> 29
-    return h & 0x7FFFFFFFFFFFFFFF
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 >> 9 & 0x7FFFFFFFFFFFFFFF
 
 
 class Words:
@@ -78,9 +77,9 @@ class Words:
             h = _hash(w)
             own = [h & MASK]
             if "*" in w:
-                own.append(_hash("masked") & MASK)
+                own.append(MASKED)
             p = f"^{w}$"
-            own += [_hash("4" + p[i : i + 4]) & MASK for i in range(max(1, len(p) - 3))]
+            own += [zlib.crc32(p[i : i + 4].encode("utf-8", "surrogatepass"), 4) & MASK for i in range(max(1, len(p) - 3))]
             if len(self.at) >= self.most:
                 self.at.clear()
             got = self.at[word] = (h, own)
@@ -128,7 +127,7 @@ def fit_ordinal(col: np.ndarray, off: np.ndarray, grade: np.ndarray, weight: np.
         d0 = -np.sum(np.where(grade == 0, -da, np.where(grade == 1, da, 0)) / p * weight) / total
         d1 = -np.sum(np.where(grade == 1, -db, np.where(grade == 2, db, 0)) / p * weight) / total
         g = np.empty_like(m)
-        g[:-2] = np.bincount(col, dz[row], 1 << BITS) - L2 * w
+        g[:-2] = np.bincount(col, dz[row], 1 << BITS) - L2 / total * w
         g[-2], g[-1] = d0 + d1, d1 * np.exp(gap)
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
@@ -201,6 +200,7 @@ def scores(documents: DataFrame, model: Model, id_col="doc_id", text="text") ->
 
     def run(batches):
         w, theta = held.value
+        weight = w.tolist()
         own: dict[str, tuple[int, float]] = {}
         memory = Words(0)
         for b in batches:
@@ -216,7 +216,7 @@ def scores(documents: DataFrame, model: Model, id_col="doc_id", text="text") ->
                             h, f = memory(x)
                             if len(own) > 400_000:
                                 own.clear()
-                            got = own[x] = (h, float(w[np.unique(f)].sum()))
+                            got = own[x] = (h, sum(weight[k] for k in set(f)))
                         hashes.append(got[0])
                         singles.append(got[1])
             z = np.full(len(texts), -np.inf)
