@@ -25,6 +25,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import matching_cells
+
 # Letters that look alike, foreign and Cyrillic in the same order.
 LOOKALIKE_FROM = "ABCEHIKMOPTXYaceiopxyhəƏɵƟëËïÏ" "ΑΒΕΗΙΚΜΝΟΡΤΧΥοραευικ"
 LOOKALIKE_TO = "АВСЕНІКМОРТХУасеіорхуһәӘөӨёЁїЇ" "АВЕНІКМНОРТХУораеуік"
@@ -91,9 +93,7 @@ def letters(c: str | Column) -> Column:
 def unified(rows: DataFrame, id_col="pair_id", fields=("kk", "ru")) -> DataFrame:
     """(id, field, unified, changed) of the cells that took part."""
     spark = rows.sparkSession
-    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in fields]))
-    d = rows.select(F.col(id_col).cast("long").alias("id"), cell.alias("c")).select("id", "c.*")
-    chars = code_points(d.where(F.col("text").rlike(CANDIDATE)))
+    chars = code_points(matching_cells(rows, id_col, fields, CANDIDATE))
     # decomposition table; every character keeps its position
     plain = _frame(spark, decompositions(), "ch string, plain string")
     klass = _frame(spark, {chr(c): unicodedata.combining(chr(c)) for c in range(0x300, 0x370) if unicodedata.combining(chr(c))}, "ch string, ccc int")
@@ -105,7 +105,10 @@ def unified(rows: DataFrame, id_col="pair_id", fields=("kk", "ru")) -> DataFrame
     c = c.groupBy("id", "field", "cluster").agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "ch"))).alias("s"), F.max("hit").alias("hit"))
     c = c.withColumn("raw", F.array_join(F.transform("s", lambda x: x.ch), ""))
     whole = _frame(spark, compositions(), "raw string, composed string")
-    c = c.join(whole, "raw", "left").select("id", "field", "cluster", F.coalesce("composed", "raw").alias("ch"), "hit")
+    first = whole.select(F.col("raw").alias("two"), F.col("composed").alias("start"))
+    c = c.join(whole, "raw", "left").withColumn("two", F.substring("raw", 1, 2)).join(F.broadcast(first), "two", "left")
+    start = F.concat("start", F.expr("substring(raw, 3)"))
+    c = c.select("id", "field", "cluster", F.coalesce("composed", start, "raw").alias("ch"), "hit")
     # look-alikes by word: runs of letters
     c = c.withColumn("letter", letters("ch"))
     w = Window.partitionBy("id", "field").orderBy("cluster").rowsBetween(Window.unboundedPreceding, 0)
