@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 1500
 BITS = 18
 MASK = (1 << BITS) - 1
-ROUNDS, STEPS, L2 = 4, 60, 0.5
+LONG_SENTENCE = 60  # words; in longer ones repeats are counted once, as in fitting
+ROUNDS, STEPS, L2 = 4, 60, 0.2
 
 TAG = re.compile(r"<[^<>]{0,200}>")
 END = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -176,7 +177,7 @@ def fit(grades: np.ndarray, texts: list[str]) -> Model:
         keep = use[row]
         sub_off = np.concatenate([[0], np.cumsum(np.diff(off)[idx])])
         grade = np.where(carrier, grades[doc], 0)[idx]
-        weight = np.where(grade > 0, 3.0, np.where(near[idx], 1.0, 10.0))
+        weight = np.where(grade > 0, 1.5, np.where(near[idx], 1.0, 10.0))
         model = fit_ordinal(col[keep], sub_off, grade, weight, model)
         score = np.bincount(row, model.w[col], len(rows))
         chance = model.above(score)[:, 0]
@@ -202,12 +203,15 @@ def scores(documents: DataFrame, model: Model, id_col="doc_id", text="text") ->
         w, theta = held.value
         weight = w.tolist()
         own: dict[str, tuple[int, float]] = {}
-        memory = Words(0)
+        memory = Words()
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            hashes, singles, start, doc = [], [], [], []
+            hashes, singles, start, doc, far = [], [], [], [], []
             for i, t in enumerate(texts):
                 for s in sentences(t) if t else ():
+                    if len(s) > LONG_SENTENCE:
+                        far.append((i, float(w[features(s, memory)].sum())))
+                        continue
                     start.append(len(hashes))
                     doc.append(i)
                     for x in s:
@@ -229,6 +233,8 @@ def scores(documents: DataFrame, model: Model, id_col="doc_id", text="text") ->
                 two = ((last * np.uint64(0x2545F4914F6CDD1D) ^ h) >> np.uint64(40)).astype(np.int64) & MASK
                 total = np.add.reduceat(np.array(singles) + w[two], start)
                 np.maximum.at(z, np.array(doc), total)
+            for i, x in far:
+                z[i] = max(z[i], x)
             p = _sigmoid(z[:, None] - theta[None, :]) * np.isfinite(z)[:, None]
             yield pa.RecordBatch.from_arrays([ids, pa.array(p.sum(1)), pa.array(p[:, 0])], names=[id_col, "severity", "chance"])
 
