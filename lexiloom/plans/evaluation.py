@@ -253,3 +253,44 @@ def archive_names(spark: SparkSession, sf: str) -> DataFrame:
     url = F.concat(F.lit("https://host/"), a, F.lit("/"), v, F.lit("/moses/x.zip/"))
     name = F.substring_index(fx.archive_name(url), "-", 2)
     return p.groupBy(name.alias("archive")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT coalesce(model, 'none') AS model, shard, count(*) AS n, round(sum(length(coalesce(translation, ''))) / 100.0 / count(*), 6) AS seconds_each,
+ round(sum(length(coalesce(translation, ''))) * 1.0 / sum(length(source)), 6) AS growth FROM translations GROUP BY ALL""")
+def sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """A metric table over all combinations of settings, seconds per sentence among them."""
+    d = table(spark, sf, "translations").withColumn("t", F.length(fx.text("translation"))).withColumn("s", F.length("source"))
+    g = d.groupBy(F.coalesce("model", F.lit("none")).alias("model"), "shard")
+    each = F.round(F.sum("t") / 100.0 / F.count("*"), 6)
+    return g.agg(F.count("*").alias("n"), each.alias("seconds_each"), F.round(F.sum("t") / F.sum("s"), 6).alias("growth"))
+
+
+@query("""WITH k AS (SELECT max(item_id) // 2 AS hi FROM eval_pairs), stored AS (SELECT item_id, kk, CASE WHEN item_id % 50 = 0 THEN '' ELSE ru END AS ru FROM eval_pairs, k WHERE item_id <= hi)
+ SELECT count(*) AS stored, count(*) FILTER (s.kk IS DISTINCT FROM e.kk OR s.ru IS DISTINCT FROM e.ru) AS changed, (SELECT count(*) FROM eval_pairs) - count(*) AS remaining FROM stored s JOIN eval_pairs e USING (item_id)""")
+def prefix_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Resume check: stored records (here the first half, some changed) against the data set."""
+    e = table(spark, sf, "eval_pairs").select("item_id", "kk", "ru")
+    half = e.agg(F.floor(F.max("item_id") / 2).alias("hi"))
+    old = e.join(F.broadcast(half), F.col("item_id") <= F.col("hi")).select("item_id", F.col("kk").alias("k"), F.when(F.col("item_id") % 50 == 0, "").otherwise(F.col("ru")).alias("r"), F.lit(True).alias("there"))
+    j = e.join(old, "item_id", "left")
+    there = F.col("there").isNotNull()
+    same = F.col("k").eqNullSafe(F.col("kk")) & F.col("r").eqNullSafe(F.col("ru"))
+    return j.agg(F.count_if(there).alias("stored"), F.count_if(there & ~same).alias("changed"), F.count_if(~there).alias("remaining"))
+
+
+@query()
+def piece_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    """BLEU over the pieces of a public subword model, the pluggable tokenizer of M5; a missing
+    model is recorded, not raised."""
+    import os
+
+    path = spark.conf.get("spark.lexiloom.piece", "/opt/tokenizers/piece_bpe_32k.model")
+    if not os.path.exists(path):
+        return spark.createDataFrame([("-", None, f"no tokenizer at {path}")], "system string, bleu double, error string")
+    from ..functions import sequence as sq
+
+    encode = sq.sentencepiece(path)
+    ids = lambda c: F.transform(encode(F.array_join(c, " ")), lambda x: x.cast("string"))
+    h = hypotheses(spark, sf).withColumn("hi", ids("h")).withColumn("ri", ids("r"))
+    s = metrics.gram_rows(h, ["item_id", "system"], F.col("hi"), F.col("ri"), metrics.ORDERS)
+    return metrics.bleu(s, ["system"]).select("system", F.round("bleu", 6).alias("bleu"), F.lit(None).cast("string").alias("error"))
