@@ -10,16 +10,19 @@ minwise hash in which every rare word comes before every frequent one:
 
 * the minima that are rare words are bands of one row each (recall 1);
 * bags whose first p elements reach into the frequent words, and which share no
-  rare word, agree in nearly all frequent words.  Those get minwise bands over
-  their frequent words only, 20 bands of 6 rows; where four or more frequent
-  words may differ also 24 bands of 4 rows.  At Jaccard 0.9, 0.8, 0.7 and 0.667
-  of the frequent words the bands miss under 1e-6, 1e-4, 2e-3 and 5e-3 of pairs.
+  rare word, agree in nearly all frequent words: with f frequent words of which e
+  may differ, their Jaccard similarity is at least (f - e) / (f + e).  Those get
+  bands of 6 rows over their frequent words, as many (up to 20) as miss at most
+  1e-4 of pairs at that similarity; below 0.85 all 20, and 30 bands of 4 rows.  A
+  pair shares the bands of its member with the higher bound, which holds for both.
+  At the lowest similarity that a likeness of 4/5 allows, 0.667, both kinds
+  together miss 2e-4.
 
 With uniform permutations over all words the candidates grow with the square of
 the table, because sentences share common words; rare-first order keeps them
-near the number of true pairs.  "Rare" is at most max(50, N/5000) bags, so the
-list of frequent words that is broadcast has at most 5000 times the mean bag
-size, whatever N is.  Each key row carries a 64-bit parity map: its Hamming
+near the number of true pairs.  "Rare" is at most max(50, N/50000) bags, so the
+list of frequent words that is broadcast has at most 50000 times the mean bag
+size, whatever N is.  Each key row carries a 128-bit parity map: its Hamming
 distance bounds the overlap from above and drops pairs inside the join without
 losing any.  What is left is verified on the full bags.
 """
@@ -34,12 +37,14 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, bitmap, durable, in_bitmap, list_parts, mix64
 
 BANDS, ROWS = 20, 6
-WIDE_BANDS, WIDE_ROWS, WIDE_FROM = 24, 4, 4
-RARE_MIN, RARE_SHARE = 50, 5000
+WIDE_BANDS, WIDE_ROWS, WIDE_UNDER = 30, 4, 0.85
+RARE_MIN, RARE_SHARE = 50, 50_000
+MISS = 1e-4
 _rng = np.random.default_rng(20240611)
 _SEEDS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-KEYS = "key long, id long, n int, tag long, bits long"
+KEYS = "key long, id long, meta long, bits long, more long"
+TAG_BITS = 40  # of meta; the bag's size stands above them
 
 
 def elements(h: np.ndarray, off: np.ndarray):
@@ -102,7 +107,11 @@ def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> D
                 continue
             off = np.concatenate([[0], np.cumsum(n)])
             e, w, row = elements(h, off)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (e & np.uint64(63)), off[:-1]).view(np.int64)
+            one = np.uint64(1) << (e & np.uint64(63))
+            half = (e >> np.uint64(6)) & np.uint64(1)
+            bits = np.bitwise_xor.reduceat(one * (half ^ np.uint64(1)), off[:-1]).view(np.int64)
+            more = np.bitwise_xor.reduceat(one * half, off[:-1]).view(np.int64)
+            meta = n << TAG_BITS | tag & (1 << TAG_BITS) - 1
             p = n - (4 * n + 4) // 5 + 1
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
@@ -127,26 +136,27 @@ def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> D
                 f_e = e[~rare & dense[row]]
                 rows = np.flatnonzero(dense)
                 size = (n - many)[rows]
-                s = np.concatenate([[0], np.cumsum(size)])[:-1]
-                mins = np.empty((BANDS * ROWS, len(rows)), dtype=np.uint64)
-                for i in range(BANDS * ROWS):
-                    x = (f_e ^ _SEEDS[i]) * _FACTORS[i]
-                    x ^= x >> np.uint64(29)
-                    mins[i] = np.minimum.reduceat(x, s)
-                for k in range(BANDS):
-                    z = np.full(len(rows), np.uint64(k + 1)) * GOLDEN
-                    for i in range(k * ROWS, (k + 1) * ROWS):
-                        z = mix64(z ^ mins[i])
-                    keys.append(z)
-                    owner.append(rows)
-                wide = spare[rows] >= WIDE_FROM
-                if wide.any():
-                    for k in range(WIDE_BANDS):
-                        z = np.full(int(wide.sum()), np.uint64(1000 + k)) * GOLDEN
-                        for i in range(k * WIDE_ROWS, (k + 1) * WIDE_ROWS):
-                            z = mix64(z ^ mins[i][wide])
+                lost = spare[rows] - 1  # frequent words that may differ while no rare one is shared
+                low = (size - lost) / (size + lost)
+                need = np.ceil(np.log(MISS) / np.log1p(-np.clip(low, 0.01, 0.99) ** ROWS))
+                need = np.where(low < WIDE_UNDER, BANDS, np.minimum(need, BANDS))
+                wide = np.where(low < WIDE_UNDER, WIDE_BANDS, 0)
+                bag = np.repeat(np.arange(len(rows)), size)
+                for salt, per_band, want in ((0, ROWS, need), (1000, WIDE_ROWS, wide)):
+                    count = -1
+                    for k in range(int(want.max())):
+                        mine = want > k
+                        if mine.sum() != count:  # bags only drop out as k grows
+                            count = mine.sum()
+                            f = f_e[mine[bag]]
+                            at = np.concatenate([[0], np.cumsum(size[mine])])[:-1]
+                        z = np.full(count, np.uint64(salt + k + 1)) * GOLDEN
+                        for i in range(k * per_band, (k + 1) * per_band):
+                            x = (f ^ _SEEDS[i]) * _FACTORS[i]
+                            x ^= x >> np.uint64(29)
+                            z = mix64(z ^ np.minimum.reduceat(x, at))
                         keys.append(z)
-                        owner.append(rows[wide])
+                        owner.append(rows[mine])
             key = np.concatenate(keys).view(np.int64)
             own = np.concatenate(owner)
             if only is not None:
@@ -154,8 +164,8 @@ def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> D
                 key, own = key[ok], own[ok]
             if len(key):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids[own]), pa.array(n[own].astype(np.int32)), pa.array(tag[own]), pa.array(bits[own])],
-                    names=["key", "id", "n", "tag", "bits"],
+                    [pa.array(key), pa.array(ids[own]), pa.array(meta[own]), pa.array(bits[own]), pa.array(more[own])],
+                    names=["key", "id", "meta", "bits", "more"],
                 )
 
     return docs.select("id", "tag", "h").mapInArrow(run, KEYS)
@@ -163,8 +173,8 @@ def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> D
 
 def may_match(a: str, b: str):
     """Exact necessary condition on two key rows."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    far = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    na, nb = (F.shiftrightunsigned(F.col(f"{t}.meta"), TAG_BITS) for t in (a, b))
+    far = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits", "more"))
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (5 * (na + nb - far) >= 8 * F.greatest(na, nb))
 
 
@@ -205,7 +215,8 @@ def self_candidates(docs: DataFrame) -> DataFrame:
     """Candidate pairs a < b of ids; pairs with the same tag are left out."""
     k = key_rows(docs, Order(docs)).repartition("key").dropDuplicates(["key", "id"])
     j = k.alias("x").join(k.alias("y"), F.col("x.key") == F.col("y.key"))
-    j = j.where((F.col("x.id") < F.col("y.id")) & (F.col("x.tag") != F.col("y.tag")) & may_match("x", "y"))
+    tags = F.col("x.meta").bitwiseXOR(F.col("y.meta")).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    j = j.where((F.col("x.id") < F.col("y.id")) & (tags != 0) & may_match("x", "y"))
     return durable(j.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
 
