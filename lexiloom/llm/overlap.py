@@ -19,7 +19,7 @@ def cells(df: DataFrame, id_col: str, fields=("kk", "ru"), min_words: int = MIN_
     cell = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), word_hashes(c).alias("w")) for i, c in enumerate(fields)]))
     d = df.select(F.col(id_col).cast("long").alias("_row"), cell.alias("_c")).where(F.size("_c.w") >= min_words)
     h = F.transform("_c.w", lambda x: x.bitwiseXOR(F.col("_c.f") * F.lit(0x4C957F2D)))
-    return d.select((F.col("_row") * 2 + F.col("_c.f")).alias("id"), F.lit(0).cast("long").alias("tag"), h.alias("h"))
+    return d.select((F.col("_row") * 2 + F.col("_c.f")).alias("id"), h.alias("h"))
 
 
 def cross_split_pairs(evals: DataFrame, train: DataFrame, item="item_id", row="pair_id", min_words: int = MIN_WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ With uniform permutations over all words the candidates grow with the square of
 the table, because sentences share common words; rare-first order keeps them
 near the number of true pairs.  "Rare" is at most max(50, N/50000) bags, so the
 list of frequent words that is broadcast has at most 50000 times the mean bag
-size, whatever N is.  Each key row carries a 128-bit parity map: its Hamming
+size, whatever N is.  Each key row carries a 112-bit parity map: its Hamming
 distance bounds the overlap from above and drops pairs inside the join without
 losing any.  What is left is verified on the full bags.
 """
@@ -43,8 +43,10 @@ MISS = 1e-4
 _rng = np.random.default_rng(20240611)
 _SEEDS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-KEYS = "key long, id long, meta long, bits long, more long"
-TAG_BITS = 40  # of meta; the bag's size stands above them
+KEYS = "key long, id long, bits long, more long"
+PARITY = 112  # bits of the parity map: 64 in bits, the others in more, below the bag's size
+LOW48 = (1 << 48) - 1
+BAG_BITS = 24  # of an id; the bits above them tell apart what may be linked
 
 
 def elements(h: np.ndarray, off: np.ndarray):
@@ -84,7 +86,7 @@ class Order:
 
 
 def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> DataFrame:
-    """Band keys of bags (id, tag, h): rows of KEYS, repeated ids of a batch once.
+    """Band keys of bags (id, h): rows of KEYS, repeated ids of a batch once.
 
     only: a bitmap of keys; others are left out before the shuffle.
     """
@@ -96,22 +98,21 @@ def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> D
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
             h, off = list_parts(b.column("h"))
-            tag = b.column("tag").to_numpy(zero_copy_only=False)
             n = np.diff(off)
             first = np.zeros(len(ids), dtype=bool)
             first[np.unique(ids, return_index=True)[1]] = True
             use = first & (n > 0)
             keep = np.repeat(use, n)
-            h, ids, tag, n = h[keep], ids[use], tag[use], n[use]
+            h, ids, n = h[keep], ids[use], n[use]
             if not len(ids):
                 continue
             off = np.concatenate([[0], np.cumsum(n)])
             e, w, row = elements(h, off)
-            one = np.uint64(1) << (e & np.uint64(63))
-            half = (e >> np.uint64(6)) & np.uint64(1)
-            bits = np.bitwise_xor.reduceat(one * (half ^ np.uint64(1)), off[:-1]).view(np.int64)
-            more = np.bitwise_xor.reduceat(one * half, off[:-1]).view(np.int64)
-            meta = n << TAG_BITS | tag & (1 << TAG_BITS) - 1
+            place = e % np.uint64(PARITY)
+            one = np.uint64(1) << (place & np.uint64(63))
+            bits = np.bitwise_xor.reduceat(np.where(place < 64, one, np.uint64(0)), off[:-1]).view(np.int64)
+            more = np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), one), off[:-1])
+            more = (more | np.minimum(n, 0xFFFF).astype(np.uint64) << np.uint64(48)).view(np.int64)
             p = n - (4 * n + 4) // 5 + 1
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
@@ -164,17 +165,17 @@ def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> D
                 key, own = key[ok], own[ok]
             if len(key):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids[own]), pa.array(meta[own]), pa.array(bits[own]), pa.array(more[own])],
-                    names=["key", "id", "meta", "bits", "more"],
+                    [pa.array(key), pa.array(ids[own]), pa.array(bits[own]), pa.array(more[own])], names=["key", "id", "bits", "more"]
                 )
 
-    return docs.select("id", "tag", "h").mapInArrow(run, KEYS)
+    return docs.select("id", "h").mapInArrow(run, KEYS)
 
 
 def may_match(a: str, b: str):
-    """Exact necessary condition on two key rows."""
-    na, nb = (F.shiftrightunsigned(F.col(f"{t}.meta"), TAG_BITS) for t in (a, b))
-    far = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("bits", "more"))
+    """Exact necessary condition on two key rows; sizes from 65535 on count as that."""
+    na, nb = (F.shiftrightunsigned(F.col(f"{t}.more"), 48) for t in (a, b))
+    rest = F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")).bitwiseAND(F.lit(LOW48))
+    far = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) + F.bit_count(rest)
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (5 * (na + nb - far) >= 8 * F.greatest(na, nb))
 
 
@@ -193,10 +194,10 @@ def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 h, off = list_parts(b.column("h"))
                 e, _, _ = elements(h, off)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(e.view(np.int64)))], names=["id", "e"]
+                    [b.column("id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((e >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["id", "e"]
                 )
 
-    return docs.select("id", "h").mapInArrow(run, "id long, e array<long>").groupBy("id").agg(F.first("e").alias("e"))
+    return docs.select("id", "h").mapInArrow(run, "id long, e array<int>").groupBy("id").agg(F.first("e").alias("e"))
 
 
 def verified(cand: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -212,11 +213,11 @@ def verified(cand: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def self_candidates(docs: DataFrame) -> DataFrame:
-    """Candidate pairs a < b of ids; pairs with the same tag are left out."""
+    """Candidate pairs a < b of ids; pairs of ids that agree above their bag bits are left out."""
     k = key_rows(docs, Order(docs)).repartition("key").dropDuplicates(["key", "id"])
     j = k.alias("x").join(k.alias("y"), F.col("x.key") == F.col("y.key"))
-    tags = F.col("x.meta").bitwiseXOR(F.col("y.meta")).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-    j = j.where((F.col("x.id") < F.col("y.id")) & (tags != 0) & may_match("x", "y"))
+    other = F.shiftrightunsigned(F.col("x.id").bitwiseXOR(F.col("y.id")), BAG_BITS) != 0
+    j = j.where((F.col("x.id") < F.col("y.id")) & other & may_match("x", "y"))
     return durable(j.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
 
