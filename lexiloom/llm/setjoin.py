@@ -9,14 +9,15 @@ of their first p = n - ceil(4n/5) + 1 elements.  Elements are ordered by a
 minwise hash in which every rare word comes before every frequent one:
 
 * the minima that are rare words are bands of one row each (recall 1);
-* bags whose first p elements reach into the frequent words, and which share no
-  rare word, agree in nearly all frequent words: with f frequent words of which e
-  may differ, their Jaccard similarity is at least (f - e) / (f + e).  Those get
-  bands of 6 rows over their frequent words, as many (up to 20) as miss at most
-  1e-4 of pairs at that similarity; below 0.85 all 20, and 30 bands of 4 rows.  A
-  pair shares the bands of its member with the higher bound, which holds for both.
-  At the lowest similarity that a likeness of 4/5 allows, 0.667, both kinds
-  together miss 2e-4.
+* two bags whose first p elements both reach into the frequent words, and which
+  share no rare word, share all of their ceil(4m/5) words, m the larger size,
+  among the frequent ones.  A partner may have no rare word at all, so a bag of n
+  elements, f of them frequent, knows of its Jaccard similarity with any partner
+  over frequent words only that it is at least ceil(4m/5) / (f + m - ceil(4m/5)),
+  the lowest for m from n on (0.667 to 0.8).  It gets bands of 4 rows over its
+  frequent words, as many (up to 42) as miss at most 1e-4 of pairs at that bound.
+  Both bounds hold for a pair, and it shares the bands of its member with the
+  higher one, so no pair is missed more often than that.
 
 With uniform permutations over all words the candidates grow with the square of
 the table, because sentences share common words; rare-first order keeps them
@@ -36,10 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, bitmap, durable, in_bitmap, list_parts, mix64
 
-BANDS, ROWS = 20, 6
-WIDE_BANDS, WIDE_ROWS, WIDE_UNDER = 30, 4, 0.85
+ROWS, MISS = 4, 1e-4
+BANDS = int(np.ceil(np.log(MISS) / np.log1p(-((2 / 3) ** ROWS))))
 RARE_MIN, RARE_SHARE = 50, 50_000
-MISS = 1e-4
 _rng = np.random.default_rng(20240611)
 _SEEDS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -75,6 +75,15 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, int]:
     return df.where("w <> 0"), n[0].df if n else 0
 
 
+def bands_needed(n: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Bands of bags of n elements, f of them frequent, that miss at most MISS of the pairs that share no rare word."""
+    low = np.ones(len(n))
+    for m in range(5):  # with five more elements the bound is higher again
+        same = (4 * (n + m) + 4) // 5
+        low = np.minimum(low, same / (f + n + m - same))
+    return np.minimum(np.ceil(np.log(MISS) / np.log1p(-np.minimum(low, 0.99) ** ROWS)), BANDS)
+
+
 class Order:
     """Frequent words (bounded list) and a fixed-size bitmap of words that occur twice."""
 
@@ -137,27 +146,22 @@ def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> D
                 f_e = e[~rare & dense[row]]
                 rows = np.flatnonzero(dense)
                 size = (n - many)[rows]
-                lost = spare[rows] - 1  # frequent words that may differ while no rare one is shared
-                low = (size - lost) / (size + lost)
-                need = np.ceil(np.log(MISS) / np.log1p(-np.clip(low, 0.01, 0.99) ** ROWS))
-                need = np.where(low < WIDE_UNDER, BANDS, np.minimum(need, BANDS))
-                wide = np.where(low < WIDE_UNDER, WIDE_BANDS, 0)
+                need = bands_needed(n[rows], size)
                 bag = np.repeat(np.arange(len(rows)), size)
-                for salt, per_band, want in ((0, ROWS, need), (1000, WIDE_ROWS, wide)):
-                    count = -1
-                    for k in range(int(want.max())):
-                        mine = want > k
-                        if mine.sum() != count:  # bags only drop out as k grows
-                            count = mine.sum()
-                            f = f_e[mine[bag]]
-                            at = np.concatenate([[0], np.cumsum(size[mine])])[:-1]
-                        z = np.full(count, np.uint64(salt + k + 1)) * GOLDEN
-                        for i in range(k * per_band, (k + 1) * per_band):
-                            x = (f ^ _SEEDS[i]) * _FACTORS[i]
-                            x ^= x >> np.uint64(29)
-                            z = mix64(z ^ np.minimum.reduceat(x, at))
-                        keys.append(z)
-                        owner.append(rows[mine])
+                count = -1
+                for k in range(int(need.max())):
+                    mine = need > k
+                    if mine.sum() != count:  # bags only drop out as k grows
+                        count = mine.sum()
+                        f = f_e[mine[bag]]
+                        at = np.concatenate([[0], np.cumsum(size[mine])])[:-1]
+                    z = np.full(count, np.uint64(k + 1)) * GOLDEN
+                    for i in range(k * ROWS, (k + 1) * ROWS):
+                        x = (f ^ _SEEDS[i]) * _FACTORS[i]
+                        x ^= x >> np.uint64(29)
+                        z = mix64(z ^ np.minimum.reduceat(x, at))
+                    keys.append(z)
+                    owner.append(rows[mine])
             key = np.concatenate(keys).view(np.int64)
             own = np.concatenate(owner)
             if only is not None:

@@ -85,3 +85,35 @@ def test_dense_bags_have_bands():
     assert len(np.intersect1d(e[:40], e[40:])) == 36
     e, _, _ = setjoin.elements(np.array([7, 7, 7], dtype=np.int32), np.array([0, 3]))
     assert len(set(e.tolist())) == 3
+
+
+def test_rare_edits_on_one_side_only(spark):
+    """A bag with six rare words and its partner with six frequent ones in their place meet."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        w = r.choice(2000, 30, replace=False).astype(int).tolist()
+        rows += [(2 * i, w[:24] + [10_000 + 6 * i + k for k in range(6)]), (2 * i + 1, w)]
+    d = spark.createDataFrame(rows, "id long, h array<int>")
+    order = SimpleNamespace(frequent=np.arange(2000, dtype=np.int32), twice=np.zeros(1 << 12, dtype=np.uint8))
+    keys = {}
+    for x in setjoin.key_rows(d, order).collect():
+        keys.setdefault(x.id, set()).add(x.key)
+    assert not [i for i in range(300) if not keys[2 * i] & keys[2 * i + 1]]
+
+
+def test_bands_needed_hold_for_every_partner():
+    import numpy as np
+
+    for n in range(10, 80):
+        for f in range((4 * n + 4) // 5, n + 1):
+            lows = []
+            for m in range((4 * n + 4) // 5, 5 * n // 4 + 1):
+                same = (4 * max(n, m) + 4) // 5
+                lows += [same / (f + g - same) for g in range(same, m + 1) if same <= f]
+            got = setjoin.bands_needed(np.array([n]), np.array([f]))[0]
+            assert (1 - min(lows) ** setjoin.ROWS) ** got <= setjoin.MISS * 1.0001
