@@ -6,7 +6,12 @@ closed forms of their sums, so they group by anything and resample cheaply.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,3 +148,79 @@ def bootstrap_draws(rows: DataFrame, pos: str, samples: int, seed: int) -> DataF
     n = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
     d = rows.select(pos).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     return d.withColumn("k", n).where("k > 0")
+
+
+def poisson_edges() -> np.ndarray:
+    """Cumulative chances of a Poisson(1) draw of 0 to 7, as in bootstrap_draws."""
+    cum, p, edges = 0.0, 2.718281828459045**-1, []
+    for k in range(1, 9):
+        cum += p
+        p /= k
+        edges.append(cum)
+    return np.array(edges)
+
+
+def text_grams(words: list[str]) -> list[Counter]:
+    """Bags of the n-grams of words (orders 1 to 4) and of characters without white space (1 to 6)."""
+    c = "".join("".join(words).split())
+    bags = [Counter(zip(*(words[i:] for i in range(n)))) for n in range(1, ORDERS + 1)]
+    return bags + [Counter([c[i : i + n] for i in range(len(c) - n + 1)]) for n in range(1, CHARS + 1)]
+
+
+def resampled_stats(df: DataFrame, key: str, samples: int, seed: int) -> DataFrame:
+    """(system, sample, metric, n, m, h, r): statistics of BLEU and chrF++ summed over each resample.
+
+    df: (key, system, h, r), words of hypothesis and reference.  Draws are those of bootstrap_draws.
+    A row's n-grams are counted once, and a partition sums its rows for all resamples by matrix
+    products, so rows are not multiplied by resamples; sums are of integers, hence exact.
+    """
+    orders = [("bleu", n, n - 1) for n in range(1, ORDERS + 1)] + [("chrf_pp", n, ORDERS + n - 1) for n in range(1, CHARS + 1)]
+    orders += [("chrf_pp", 10 + n, n - 1) for n in range(1, WORDS + 1)]
+    width = ORDERS + CHARS
+
+    def run(batches):
+        edges = poisson_edges()
+        heads = [hashlib.md5(f"{seed}:{s}:".encode()) for s in range(1, samples + 1)]
+
+        def draws(k):
+            tail, got = str(k).encode(), []
+            for x in heads:
+                x = x.copy()
+                x.update(tail)
+                got.append(x.digest())
+            u = np.frombuffer(b"".join(got), dtype=">u4")[::4] / 2.0**32
+            return np.searchsorted(edges, u, side="right")
+
+        sums: dict[str, np.ndarray] = {}
+        drawn: dict[str, np.ndarray] = {}
+        last_k, last_r, k_draws, r_bags = None, None, None, None
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256).to_pydict()
+                ks, ms, systems = [], [], np.array(part["system"], dtype=object)
+                for k, h, r in zip(part[key], part["h"], part["r"]):
+                    if k != last_k:  # systems of a row mostly follow each other
+                        last_k, k_draws = k, draws(k)
+                    if r != last_r:
+                        last_r, r_bags = r, text_grams(r)
+                    h_bags = text_grams(h)
+                    ks.append(k_draws)
+                    ms.append([[sum((x & y).values()) for x, y in zip(h_bags, r_bags)], [x.total() for x in h_bags], [y.total() for y in r_bags]])
+                ks, ms = np.array(ks, dtype=np.float64), np.array(ms, dtype=np.float64).reshape(len(ks), -1)
+                for s in set(systems):
+                    mine = systems == s
+                    sums[s] = sums.get(s, 0) + ks[mine].T @ ms[mine]
+                    drawn[s] = drawn.get(s, 0) + ks[mine].sum(axis=0)
+        for s, x in sums.items():
+            some = np.flatnonzero(drawn[s])
+            x = x[some].astype(np.int64).reshape(len(some), 3, width)
+            for metric, n, i in orders:
+                same = [pa.array([v] * len(some), t) for v, t in ((s, pa.string()), (metric, pa.string()), (n, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [same[0], pa.array(some + 1, pa.int32()), *same[1:], *(pa.array(x[:, j, i]) for j in range(3))],
+                    names=["system", "sample", "metric", "n", "matched", "hyp_total", "ref_total"],
+                )
+
+    d = df.select(key, "system", "h", "r").repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+    d = d.mapInArrow(run, "system string, sample int, metric string, n int, matched long, hyp_total long, ref_total long")
+    return d.groupBy("system", "sample", "metric", "n").agg(*(F.sum(c).alias(c) for c in ("matched", "hyp_total", "ref_total")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import filters, metrics, order
+from ..operators.durable import written
 from .catalog import query, table
 
 REFS = "ref AS (SELECT item_id, split, string_split(ru, ' ') AS w FROM eval_pairs WHERE coalesce(ru, '') <> '')"
@@ -115,13 +116,17 @@ def bootstrap_scores(spark: SparkSession, sf: str, samples: int = 20) -> DataFra
 
 
 @query()
-def paired_bootstrap(spark: SparkSession, sf: str, samples: int = 100) -> DataFrame:
-    """Mean, half width of the 95 % interval and p of system a against b."""
-    d = bootstrap_scores(spark, sf, samples)
-    b = d.where("system = 'b'").select("sample", F.col("bleu").alias("base"))
-    j = d.where("system = 'a'").join(b, "sample").withColumn("diff", F.col("bleu") - F.col("base"))
-    m = j.agg(F.avg("diff").alias("mean_diff"), F.stddev("diff").alias("sd"), F.count_if(F.col("diff") <= 0).alias("c"), F.count("*").alias("n"))
-    return m.select(F.round("mean_diff", 4).alias("mean_diff"), F.round(1.96 * F.col("sd"), 4).alias("half_width"), F.round((F.col("c") + 1) / (F.col("n") + 1), 6).alias("p"))
+def paired_bootstrap(spark: SparkSession, sf: str, samples: int = 1000) -> DataFrame:
+    """Mean, half width of the 95 % interval and p of system a against b, by BLEU and by chrF++."""
+    s = written(metrics.resampled_stats(hypotheses(spark, sf), "item_id", samples, 12345))
+    by = ["system", "sample"]
+    bleu = metrics.bleu(s.where("metric = 'bleu'"), by).select(*by, F.lit("bleu").alias("metric"), F.round("bleu", 6).alias("score"))
+    chrf = metrics.f_score(s.where("metric = 'chrf_pp'"), by, "score").select(*by, F.lit("chrf_pp").alias("metric"), F.round("score", 6).alias("score"))
+    d = bleu.unionAll(chrf)
+    b = d.where("system = 'b'").select("metric", "sample", F.col("score").alias("base"))
+    j = d.where("system = 'a'").join(b, ["metric", "sample"]).withColumn("diff", F.col("score") - F.col("base"))
+    m = j.groupBy("metric").agg(F.avg("diff").alias("mean_diff"), F.stddev("diff").alias("sd"), F.count_if(F.col("diff") <= 0).alias("c"), F.count("*").alias("n"))
+    return m.select("metric", F.round("mean_diff", 4).alias("mean_diff"), F.round(1.96 * F.col("sd"), 4).alias("half_width"), F.round((F.col("c") + 1) / (F.col("n") + 1), 6).alias("p"))
 
 
 @query("""WITH t AS (SELECT line_index, min(record_id) AS record_id FROM translations WHERE status = 'ok' GROUP BY line_index), h AS (SELECT x.* FROM translations x JOIN t USING (record_id))

@@ -182,3 +182,27 @@ def test_junit(spark, tmp_path):
     p.write_text('<testsuite><testcase classname="a" name="b" time="0.5"/><testcase classname="a" name="c" time="1"><failure>x</failure></testcase></testsuite>')
     got = {r.name: r.failed for r in text_io.junit(spark, str(p)).collect()}
     assert got == {"b": False, "c": True}
+
+
+def test_paired_bootstrap_is_1000_resamples_of_both_metrics(spark):
+    import inspect
+    import os
+
+    from lexiloom.plans import evaluation as ev
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    # the resampled sums give the scores of the query that SQL checks, and the whole-set scores of chrF++
+    s = metrics.resampled_stats(ev.hypotheses(spark, sf), "item_id", 20, 12345).cache()
+    got = metrics.bleu(s.where("metric = 'bleu'"), ["system", "sample"]).select("system", "sample", F.round("bleu", 6).alias("bleu"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ev.bootstrap_scores(spark, sf).collect()))
+    draws = metrics.bootstrap_draws(ev.hypotheses(spark, sf).select("item_id").distinct(), "item_id", 20, 12345)
+    want = ev.chrf_stats(spark, sf, 2).join(draws, "item_id")
+    want = want.select("system", "sample", "n", *((F.col(c) * F.col("k")).alias(c) for c in ("matched", "hyp_total", "ref_total")))
+    want = want.groupBy("system", "sample", "n").agg(F.sum("matched"), F.sum("hyp_total"), F.sum("ref_total"))
+    got = s.where("metric = 'chrf_pp'").select("system", "sample", "n", "matched", "hyp_total", "ref_total")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert inspect.signature(ev.paired_bootstrap).parameters["samples"].default == 1000
+    rows = {r.metric: r for r in ev.paired_bootstrap(spark, sf).collect()}
+    assert set(rows) == {"bleu", "chrf_pp"} and all(r.mean_diff < 0 < r.half_width for r in rows.values())
