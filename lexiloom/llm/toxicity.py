@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 1500
 BITS = 18
 MASK = (1 << BITS) - 1
-LONG_SENTENCE = 60  # words; in longer ones repeats are counted once, as in fitting
+CHUNK_WORDS, CHUNK_SENTENCES = 100_000, 1 << (32 - BITS)  # scored at once
 ROUNDS, STEPS, L2 = 4, 60, 0.2
 
 TAG = re.compile(r"<[^<>]{0,200}>")
@@ -194,47 +194,61 @@ def labelled(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[
     return got.grade.to_numpy(np.int64), got.text.tolist()
 
 
+def sentence_scores(weight: np.ndarray, hashes, flat, ends, at, start) -> np.ndarray:
+    """Sums of the weights of the distinct features of sentences, as features() has them.
+
+    hashes, and flat between ends: hash and features of each different word; at: the word
+    at each place; start: first place of each sentence, of which there are at most
+    CHUNK_SENTENCES, so that sentence and feature fit 32 bits.
+    """
+    flat, ends, at, start = np.array(flat, dtype=np.uint32), np.array(ends), np.array(at), np.array(start)
+    of = np.repeat(np.arange(len(start), dtype=np.uint32), np.diff(start, append=len(at))) << np.uint32(BITS)
+    h = np.array(hashes, dtype=np.uint64)[at]
+    last = np.empty_like(h)
+    last[1:] = h[:-1]
+    last[start] = 0x51ED270B
+    two = ((last * np.uint64(0x2545F4914F6CDD1D) ^ h) >> np.uint64(40)).astype(np.uint32) & np.uint32(MASK)
+    n = np.diff(ends)[at]
+    place = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
+    keys = np.sort(np.concatenate([np.repeat(of, n) | flat[place], of | two]))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return np.bincount(keys >> np.uint32(BITS), weight[keys & np.uint32(MASK)], len(start))
+
+
 def scores(documents: DataFrame, model: Model, id_col="doc_id", text="text") -> DataFrame:
     """(id, severity, chance): expected severity (0 to 2) and chance of a grade above 0 of
-    the worst sentence; one pass, no shuffle."""
+    the worst sentence; each feature of a sentence counts once, as in fitting; one pass, no
+    shuffle."""
     held = documents.sparkSession.sparkContext.broadcast((model.w, model.theta))
 
     def run(batches):
         w, theta = held.value
-        weight = w.tolist()
-        own: dict[str, tuple[int, float]] = {}
+        weight = w.astype(np.float64)
         memory = Words()
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            hashes, singles, start, doc, far = [], [], [], [], []
+            z = np.full(len(texts), -np.inf)
+            local: dict[str, int] = {}  # of a chunk: its different words, their hashes and features
+            hashes, flat, ends, at, start, doc = [], [], [0], [], [], []
             for i, t in enumerate(texts):
                 for s in sentences(t) if t else ():
-                    if len(s) > LONG_SENTENCE:
-                        far.append((i, float(w[features(s, memory)].sum())))
-                        continue
-                    start.append(len(hashes))
+                    start.append(len(at))
                     doc.append(i)
                     for x in s:
-                        got = own.get(x)
-                        if got is None:
+                        k = local.get(x)
+                        if k is None:
                             h, f = memory(x)
-                            if len(own) > 400_000:
-                                own.clear()
-                            got = own[x] = (h, sum(weight[k] for k in set(f)))
-                        hashes.append(got[0])
-                        singles.append(got[1])
-            z = np.full(len(texts), -np.inf)
+                            k = local[x] = len(hashes)
+                            hashes.append(h)
+                            flat += f
+                            ends.append(len(flat))
+                        at.append(k)
+                    if len(at) >= CHUNK_WORDS or len(start) == CHUNK_SENTENCES:
+                        np.maximum.at(z, np.array(doc), sentence_scores(weight, hashes, flat, ends, at, start))
+                        local.clear()
+                        hashes, flat, ends, at, start, doc = [], [], [0], [], [], []
             if start:
-                h = np.array(hashes, dtype=np.uint64)
-                start = np.array(start)
-                last = np.empty_like(h)
-                last[1:] = h[:-1]
-                last[start] = 0x51ED270B
-                two = ((last * np.uint64(0x2545F4914F6CDD1D) ^ h) >> np.uint64(40)).astype(np.int64) & MASK
-                total = np.add.reduceat(np.array(singles) + w[two], start)
-                np.maximum.at(z, np.array(doc), total)
-            for i, x in far:
-                z[i] = max(z[i], x)
+                np.maximum.at(z, np.array(doc), sentence_scores(weight, hashes, flat, ends, at, start))
             p = _sigmoid(z[:, None] - theta[None, :]) * np.isfinite(z)[:, None]
             yield pa.RecordBatch.from_arrays([ids, pa.array(p.sum(1)), pa.array(p[:, 0])], names=[id_col, "severity", "chance"])
 

@@ -92,3 +92,16 @@ def test_without_positive_labels_nothing_is_found(spark):
 def test_hidden_words_fold_to_one_form():
     assert toxicity.sentences("Т.У.П.И.Ц.А. о-й")[0][0] == "тупица"
     assert toxicity.fold("тупuuuца") == toxicity.fold("тупuца") and toxicity.fold("m@@ron") == "m*ron"
+
+
+def test_sentences_score_by_distinct_features_at_any_length(spark):
+    r = random.Random(4)
+    m = toxicity.Model(np.random.default_rng(3).normal(0, 0.05, 1 << toxicity.BITS).astype(np.float32), np.array([0.0, 1.0]))
+    texts = [" ".join(r.choice(["бала", "балалар", "қала", "қалалар", "да", "т#к"]) for _ in range(n)) for n in (1, 2, 10, 59, 60, 61, 62, 300)]
+    texts += [". ".join(texts[:5]), "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.chance for x in toxicity.scores(d, m).collect()}
+    memory = toxicity.Words()
+    for i, t in enumerate(texts):
+        z = [float(m.w[toxicity.features(s, memory)].astype(np.float64).sum()) for s in toxicity.sentences(t or "")]
+        assert abs(got[i] - (1 / (1 + np.exp(-max(z))) if z else 0)) < 1e-9
