@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,21 +71,27 @@ def positional_zip(a: DataFrame, b: DataFrame, pos: str = "index") -> DataFrame:
 
 
 def records(spark: SparkSession, paths, suffix: str = "") -> DataFrame:
-    """Translation records of JSON-line shards; a torn line is a row with ``_corrupt_record``."""
+    """Translation records of JSON-line shards; a torn line is a row with ``_corrupt_record``.
+    ``line`` orders the records of a shard as they stand in it."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths if isinstance(paths, str) else paths[0])
     fs = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.globStatus(files):
         raise FileNotFoundError(f"no shards at {paths}")
     d = spark.read.schema(RECORD).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    return d.withColumn("shard", F.input_file_name())
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return d.select("*", F.input_file_name().alias("shard"), place.alias("line"))
 
 
 def recovered(records: DataFrame) -> DataFrame:
-    """Records of a shard after a crash: torn lines out, status ok only, the first of each index."""
+    """Records of a shard after a crash: its torn last line out, status ok only, the first of
+    each index by shard and line.  A corrupt line before the last of its shard raises."""
     from ..operators.dedup import keep_first
 
-    ok = records.where("_corrupt_record IS NULL AND status = 'ok'").drop("_corrupt_record")
-    return keep_first(ok, ["index"], ["shard"])
+    last = F.max("line").over(Window.partitionBy("shard"))
+    d = records.withColumn("_last", last)
+    damage = F.raise_error(F.concat(F.lit("corrupt line within "), F.col("shard"), F.lit(": "), F.substring("_corrupt_record", 1, 80)))
+    usable = F.when(F.col("_corrupt_record").isNull(), F.coalesce(F.col("status") == "ok", F.lit(False))).when(F.col("line") == F.col("_last"), False).otherwise(damage.cast("boolean"))
+    return keep_first(d.where(usable), ["index"], ["shard", "line"]).drop("_corrupt_record", "_last", "line")
 
 
 def csv_documents(spark: SparkSession, paths, schema: str) -> DataFrame:

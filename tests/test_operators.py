@@ -206,3 +206,15 @@ def test_paired_bootstrap_is_1000_resamples_of_both_metrics(spark):
     assert inspect.signature(ev.paired_bootstrap).parameters["samples"].default == 1000
     rows = {r.metric: r for r in ev.paired_bootstrap(spark, sf).collect()}
     assert set(rows) == {"bleu", "chrf_pp"} and all(r.mean_diff < 0 < r.half_width for r in rows.values())
+
+
+def test_damage_within_a_shard_raises(spark, tmp_path):
+    ok = lambda i, t: f'{{"index": {i}, "source": "s", "translation": "{t}", "status": "ok"}}\n'
+    (tmp_path / "rank-0.jsonl").write_text(ok(1, "a") + '{"index": 2, "sou\n' + ok(3, "b"))
+    with pytest.raises(Exception, match="corrupt line within"):
+        text_io.recovered(text_io.records(spark, str(tmp_path / "rank-0.jsonl"))).collect()
+    # of repeats the first line, also where sorting by content would take another; torn tails only at the ends
+    for k in (1, 2):
+        (tmp_path / f"part-{k}.jsonl").write_text("".join(ok(i, f"{k}-{9 - n}") for n in range(9) for i in range(40)) + '{"index": 7, "so')
+    got = text_io.recovered(text_io.records(spark, str(tmp_path / "part-*.jsonl"))).collect()
+    assert {r["index"]: r.translation for r in got} == {i: "1-9" for i in range(40)} and "line" not in got[0]
