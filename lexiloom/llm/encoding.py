@@ -274,8 +274,9 @@ def learn(pairs: DataFrame, marked: DataFrame, counts: np.ndarray, fields=("kk",
     held = spark.sparkContext.broadcast((None, counts))
     near = skeletons(pairs, fields, bitmap(s, "k"))
     salt = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(TWINS))
-    near = near.groupBy("field", "k", salt.alias("z")).agg(F.min("t").alias("twin"))
-    both = s.join(near, ["field", "k"], "left").select("text", "twin", "z")
+    near = near.withColumn("z", salt).groupBy("field", "k").agg(*(F.min(F.when(F.col("z") == i, F.col("t"))).alias(f"t{i}") for i in range(TWINS)))
+    twins = F.array_compact(F.array(*(f"t{i}" for i in range(TWINS))))
+    both = s.join(near, ["field", "k"], "left").select("text", twins.alias("twins"))  # a cell is one row, so it restores once
 
     def vote(batches):
         _, c = held.value
@@ -283,9 +284,9 @@ def learn(pairs: DataFrame, marked: DataFrame, counts: np.ndarray, fields=("kk",
         votes: dict[str, list[int]] = {}
         known: dict[str, list] = {}
         for b in batches:
-            for t, twin, z in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for t, twins in zip(*(b.column(i).to_pylist() for i in range(2))):
                 ws = SPACE.split(t)
-                ts = SPACE.split(twin) if twin else []
+                others = [SPACE.split(x) for x in twins or ()]
                 gains: dict[str, float] = {}
                 for i, w in enumerate(ws):
                     got = known.get(w)
@@ -295,8 +296,10 @@ def learn(pairs: DataFrame, marked: DataFrame, counts: np.ndarray, fields=("kk",
                         got = known[w] = judge.options(w)
                     for n, x, gain in got:
                         gains[n] = gains.get(n, 0.0) + gain
-                        if i < len(ts) and len(x) >= 4 and x.lower() == ts[i].lower():
-                            votes.setdefault(n, [0, 0])[0] += 1
+                        if len(x) >= 4:
+                            same = sum(i < len(ts) and x.lower() == ts[i].lower() for ts in others)
+                            if same:
+                                votes.setdefault(n, [0, 0])[0] += same
                 if gains:
                     best = max(gains, key=lambda n: (gains[n], -len(n)))
                     if gains[best] >= LEAST_GAIN:

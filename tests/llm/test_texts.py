@@ -116,3 +116,20 @@ def test_cells(pairs, model, kazakh):
     d = pairs([(1, kk, ru), (2, ru, kk), (3, None, EN[1]), (4, "12", ""), (5, kk, ru.replace("о", "o").replace("е", "e"))])
     got = {(r.row_id, r.field): (r.lang, r.confidence > 0.9) for r in language.cells(d, model).collect()}
     assert got == {(2, "kk"): ("rus", True), (2, "ru"): ("kaz", True), (3, "ru"): ("eng", True)}
+
+
+def test_one_cell_with_many_twins_teaches_nothing(pairs, kazakh):
+    """Restored cells count once, however many clean partners they are aligned with."""
+    from pyspark.sql import functions as F
+
+    twins = [(1000 + i, " ".join(["таласқанда", "қалалық", "бригадасы", "үйді"][(i >> 2 * j) & 3] for j in range(4)), "") for i in range(40)]
+    bad = "Ғалым ескі құралды сатты".encode().decode("cp1251")
+    for copies, learned in ((1, False), (3, True)):
+        d = pairs(kazakh + twins + [(5000 + i, bad, "") for i in range(copies)])
+        both = encoding.suspects(d).cache()
+        counts = np.zeros(encoding.SIZE**2, dtype=np.int64)
+        for r in both.where("counts is not null").select(F.posexplode("counts").alias("i", "c")).collect():
+            counts[r.i] += r.c
+        marked = both.where("text is not null").select("pair_id", "field", "text")
+        assert marked.count() == copies
+        assert bool(encoding.learn(d, marked, counts)) == learned
