@@ -5,9 +5,14 @@ weight vector for all thresholds.  The grades come from the hand labels of a doc
 (0: all annotators say no, 1: they differ, 2: all say yes), the sparse features from a
 sentence: its words, pairs of neighbouring words and character 4-grams, after folding
 what hides a word (look-alike letters, masks such as ``#`` and ``@``, letters set apart,
-drawn-out letters).  A label speaks of a document, an insult is one sentence of it, so
-fitting alternates: fit on sentences, then in each document with a grade above 0 take
-its worst sentence (and any other over one half) to carry the grade.
+drawn-out letters).  Each different feature of a sentence counts once.
+
+A label speaks of a document, an insult is one sentence of it, and some labels are wrong.
+Fitting starts from features that stand significantly more often in documents with a
+grade, then alternates over ``FOLDS`` parts of the documents: a model of the other parts
+finds the sentences of a part that carry its documents' grades and the clean sentences
+that come near (hard negatives), so no document confirms itself.  Documents in which the
+others' model finds no carrier, as those with a wrong label, take no part.
 
 Fitting uses at most ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled documents, taken by
 hash order of their ids; scoring reads every sentence of every document.  Null, empty
@@ -28,10 +33,13 @@ from pyspark.sql import functions as F
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 1500
 BITS = 18
 MASK = (1 << BITS) - 1
-CHUNK_WORDS, CHUNK_SENTENCES = 100_000, 1 << (32 - BITS)  # scored at once
-ROUNDS, STEPS, L2 = 4, 60, 0.2
+CHUNK_WORDS, CHUNK_SENTENCES = 100_000, 1 << (32 - BITS)  # taken at once
+FOLDS, ROUNDS, STEPS, L2 = 3, 4, 40, 0.2
+CARRIES = 0.5  # chance from which the worst sentence of a document with a grade carries it
+FALSE_COST = 4  # labels take documents with a grade more often than the corpus has them
+SURE = 5.0  # standard errors by which a feature's share must be higher in documents with a grade
 
-TAG = re.compile(r"<[^<>]{0,200}>")
+TAG = re.compile(r"<[^<>]*>")
 END = re.compile(r"(?<=[.!?…])\s+|\n+")
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[-.*_·][^\W\d_]){2,}(?![^\W_])")
 TOKEN = re.compile(r"[^\W\d_]+(?:[#@*_$%&]+[^\W\d_]*)*")
@@ -87,14 +95,45 @@ class Words:
         return got
 
 
-def features(sentence: list[str], memory: Words) -> np.ndarray:
-    out, last = [], 0x51ED270B
-    for w in sentence:
-        h, own = memory(w)
-        out += own
-        out.append(((last * 0x2545F4914F6CDD1D ^ h) & 0xFFFFFFFFFFFFFFFF) >> 40 & MASK)
-        last = h
-    return np.unique(np.array(out, dtype=np.int32))
+class Sentences:
+    """Collects sentences word by word; gives their (sentence, feature) pairs, each once, in order."""
+
+    def __init__(self, memory: Words):
+        self.memory = memory
+        self.clear()
+
+    def clear(self):
+        self.local, self.hashes, self.flat, self.ends, self.at, self.start = {}, [], [], [0], [], []
+
+    def add(self, sentence: list[str]):
+        local, at = self.local, self.at
+        self.start.append(len(at))
+        for x in sentence:
+            k = local.get(x)
+            if k is None:
+                h, own = self.memory(x)
+                k = local[x] = len(self.hashes)
+                self.hashes.append(h)
+                self.flat += own
+                self.ends.append(len(self.flat))
+            at.append(k)
+
+    def full(self) -> bool:
+        return len(self.at) >= CHUNK_WORDS or len(self.start) == CHUNK_SENTENCES
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        flat, ends, at, start = np.array(self.flat, dtype=np.uint32), np.array(self.ends), np.array(self.at), np.array(self.start)
+        of = np.repeat(np.arange(len(start), dtype=np.uint32), np.diff(start, append=len(at))) << np.uint32(BITS)
+        h = np.array(self.hashes, dtype=np.uint64)[at]
+        last = np.empty_like(h)
+        last[1:] = h[:-1]
+        last[start] = 0x51ED270B
+        two = ((last * np.uint64(0x2545F4914F6CDD1D) ^ h) >> np.uint64(40)).astype(np.uint32) & np.uint32(MASK)
+        n = np.diff(ends)[at]
+        place = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
+        keys = np.sort(np.concatenate([np.repeat(of, n) | flat[place], of | two]))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        return keys >> np.uint32(BITS), keys & np.uint32(MASK)
 
 
 def _sigmoid(z):
@@ -110,13 +149,12 @@ class Model:
         return _sigmoid(z[:, None] - self.theta[None, :])
 
 
-def fit_ordinal(col: np.ndarray, off: np.ndarray, grade: np.ndarray, weight: np.ndarray, model: Model | None = None) -> Model:
-    """Weighted maximum likelihood of the cumulative-link model by Adam steps on all rows."""
-    n = len(grade)
-    row = np.repeat(np.arange(n), np.diff(off))
-    w = model.w.astype(np.float64) if model else np.zeros(1 << BITS)
-    t0, gap = (model.theta[0], np.log(max(model.theta[1] - model.theta[0], 1e-3))) if model else (2.0, 0.0)
-    m, v = np.zeros((1 << BITS) + 2), np.zeros((1 << BITS) + 2)
+def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, weight: np.ndarray, start):
+    """Weighted maximum likelihood of the cumulative-link model by Adam steps on all rows;
+    start and result: weights, first threshold, logarithm of the distance to the second."""
+    w, t0, gap = start
+    w, n, size = w.copy(), len(grade), len(w)
+    m, v = np.zeros(size + 2), np.zeros(size + 2)
     total = weight.sum()
     for step in range(1, STEPS + 1):
         z = np.bincount(row, w[col], n)
@@ -128,7 +166,7 @@ def fit_ordinal(col: np.ndarray, off: np.ndarray, grade: np.ndarray, weight: np.
         d0 = -np.sum(np.where(grade == 0, -da, np.where(grade == 1, da, 0)) / p * weight) / total
         d1 = -np.sum(np.where(grade == 1, -db, np.where(grade == 2, db, 0)) / p * weight) / total
         g = np.empty_like(m)
-        g[:-2] = np.bincount(col, dz[row], 1 << BITS) - L2 / total * w
+        g[:-2] = np.bincount(col, dz[row], size) - L2 / total * w
         g[-2], g[-1] = d0 + d1, d1 * np.exp(gap)
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
@@ -136,52 +174,99 @@ def fit_ordinal(col: np.ndarray, off: np.ndarray, grade: np.ndarray, weight: np.
         w += d[:-2]
         t0 += d[-2]
         gap += d[-1]
-    return Model(w.astype(np.float32), np.array([t0, t0 + np.exp(gap)]))
+    return w, t0, gap
 
 
-def fit(grades: np.ndarray, texts: list[str]) -> Model:
-    """Model of labelled documents."""
-    memory = Words()
-    rows, doc = [], []
+def threshold(chance: np.ndarray, bad: np.ndarray) -> float:
+    """Log-odds from which documents count, by the chances that models of the other parts
+    give them: the most found documents less ``FALSE_COST`` times the false ones, and
+    among values as good the one nearest to 0."""
+    odds = np.log((chance + 1e-9) / (1 - chance + 1e-9))
+    at = np.arange(-3, 1.01, 0.25)
+    worth = np.array([(odds[bad] > a).sum() - FALSE_COST * (odds[~bad] > a).sum() for a in at])
+    good = at[worth >= worth.max() - 1]
+    return float(good[np.argmin(np.abs(good))])
+
+
+def _sentences_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document of each sentence, and (sentence, feature) pairs."""
+    doc, rows, cols, done, some = [], [], [], 0, Sentences(Words())
+
+    def take():
+        nonlocal done
+        if some.start:
+            r, c = some.pairs()
+            rows.append(r.astype(np.int64) + done)
+            cols.append(c.astype(np.int64))
+            done = len(doc)
+            some.clear()
+
     for i, t in enumerate(texts):
         for s in sentences(t or ""):
-            rows.append(features(s, memory))
+            some.add(s)
             doc.append(i)
-    nothing = Model(np.zeros(1 << BITS, np.float32), np.array([10.0, 11.0]))
-    if not rows or not (grades > 0).any():
-        return nothing
-    doc = np.array(doc)
-    off = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), np.diff(off))
-    bad = grades[doc] > 0
-    n_bad, n_good = max(1, (grades > 0).sum()), max(1, (grades == 0).sum())
-    # start: features that favour documents with a grade, once per document
-    pair = np.unique(doc[row].astype(np.int64) << BITS | col)
+            if some.full():
+                take()
+    take()
+    nothing = [np.zeros(0, np.int64)]
+    return np.array(doc, dtype=np.int64), np.concatenate(rows or nothing), np.concatenate(cols or nothing)
+
+
+def fit(grades: np.ndarray, texts: list[str]) -> Model:
+    """Model of labelled documents."""
+    doc, row, col = _sentences_of(texts)
+    bad_doc, n = grades > 0, len(doc)
+    pair = np.sort(doc[row] << BITS | col)
+    pair = pair[np.diff(pair, prepend=-1) != 0]
     d, c = pair >> BITS, pair & MASK
-    in_bad = np.bincount(c[grades[d] > 0], minlength=1 << BITS)
-    in_good = np.bincount(c[grades[d] == 0], minlength=1 << BITS)
-    lift = np.log((in_bad + 0.05) / n_bad) - np.log((in_good + 0.5) / n_good)
-    lift[in_bad < 2] = 0
-    score = np.bincount(row, np.maximum(lift, 0)[col], len(rows)) / np.sqrt(np.maximum(np.diff(off), 1))
-    model, chance = None, np.zeros(len(rows))
-    tenth = np.random.default_rng(7).random(len(rows)) < 0.1
-    for turn in range(ROUNDS):
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, doc, score)
-        carrier = bad & ((score >= best[doc]) | (chance > 0.5))
-        # once a model stands, clean sentences far from the threshold count by a tenth of them
-        near = (chance > 1e-4) | (turn == 0)
-        use = carrier | ~bad & (near | tenth)
-        idx = np.flatnonzero(use)
+    kept = np.flatnonzero(np.bincount(c, minlength=1 << BITS) >= 2)  # features of at least two documents
+    if not len(kept) or not bad_doc.any():
+        return Model(np.zeros(1 << BITS, np.float32), np.array([10.0, 11.0]))
+    place = np.full(1 << BITS, -1)
+    place[kept] = np.arange(len(kept))
+    ok = place[col] >= 0
+    row, col = row[ok], place[col[ok]]
+    # start: features whose share of documents with a grade is significantly higher
+    n1, n0 = bad_doc.sum(), max(1, (~bad_doc).sum())
+    k1, k0 = (np.bincount(c[which[d]], minlength=1 << BITS)[kept] for which in (bad_doc, ~bad_doc))
+    p = (k1 + k0) / (n1 + n0)
+    errors = (k1 / n1 - k0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    lift = np.log((k1 + 0.5) / n1) - np.log((k0 + 0.5) / n0)
+    sure = min(SURE, 0.6 * np.sort(errors)[-20:].mean())  # small label sets have less evidence
+    score = np.bincount(row, np.where((errors >= sure) & (lift > 1), lift, 0)[col], n)
+    bad, fold = bad_doc[doc], (np.arange(len(texts)) % FOLDS)[doc]
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, doc, score)
+    carrier, near = bad & (score > 0) & (score >= best[doc]), ~bad & (score > 0)
+    tenth = np.random.default_rng(7).random(n) < 0.1  # of the other clean sentences, with their weight
+
+    def model_of(part, start):
+        use = part & (carrier | near | ~bad & tenth)
+        if not (use & carrier).any():
+            return start
+        new = np.cumsum(use) - 1
         keep = use[row]
-        sub_off = np.concatenate([[0], np.cumsum(np.diff(off)[idx])])
-        grade = np.where(carrier, grades[doc], 0)[idx]
-        weight = np.where(grade > 0, 1.5, np.where(near[idx], 1.0, 10.0))
-        model = fit_ordinal(col[keep], sub_off, grade, weight, model)
-        score = np.bincount(row, model.w[col], len(rows))
-        chance = model.above(score)[:, 0]
-    return model
+        grade = np.where(carrier, grades[doc], 0)[use]
+        weight = np.where(grade > 0, 1.5, np.where(near[use], 1.0, 10.0))
+        return fit_ordinal(new[row[keep]], col[keep], grade, weight, start)
+
+    models = [(np.zeros(len(kept)), 2.0, 0.0)] * FOLDS
+    for _ in range(ROUNDS):
+        models = [model_of(fold != k, m) for k, m in enumerate(models)]
+        chance = np.zeros(n)
+        for k, (w, t0, _gap) in enumerate(models):
+            keep = (fold == k)[row]
+            z = np.bincount(row[keep], w[col[keep]], n)
+            chance = np.where(fold == k, _sigmoid(z - t0), chance)
+        best = np.zeros(len(texts))
+        np.maximum.at(best, doc, chance)
+        carrier, near = bad & (chance > CARRIES) & (chance >= best[doc]), ~bad & (chance > 1e-3)
+    w, t0, gap = model_of(np.ones(n, dtype=bool), models[0])
+    shift = threshold(best, bad_doc)
+    t0 += shift
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[kept] = w
+    return Model(weights, np.array([t0, t0 + np.exp(gap)]))
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[str]]:
@@ -194,61 +279,34 @@ def labelled(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, list[
     return got.grade.to_numpy(np.int64), got.text.tolist()
 
 
-def sentence_scores(weight: np.ndarray, hashes, flat, ends, at, start) -> np.ndarray:
-    """Sums of the weights of the distinct features of sentences, as features() has them.
-
-    hashes, and flat between ends: hash and features of each different word; at: the word
-    at each place; start: first place of each sentence, of which there are at most
-    CHUNK_SENTENCES, so that sentence and feature fit 32 bits.
-    """
-    flat, ends, at, start = np.array(flat, dtype=np.uint32), np.array(ends), np.array(at), np.array(start)
-    of = np.repeat(np.arange(len(start), dtype=np.uint32), np.diff(start, append=len(at))) << np.uint32(BITS)
-    h = np.array(hashes, dtype=np.uint64)[at]
-    last = np.empty_like(h)
-    last[1:] = h[:-1]
-    last[start] = 0x51ED270B
-    two = ((last * np.uint64(0x2545F4914F6CDD1D) ^ h) >> np.uint64(40)).astype(np.uint32) & np.uint32(MASK)
-    n = np.diff(ends)[at]
-    place = np.arange(n.sum()) + np.repeat(ends[at] - (np.cumsum(n) - n), n)
-    keys = np.sort(np.concatenate([np.repeat(of, n) | flat[place], of | two]))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return np.bincount(keys >> np.uint32(BITS), weight[keys & np.uint32(MASK)], len(start))
-
-
 def scores(documents: DataFrame, model: Model, id_col="doc_id", text="text") -> DataFrame:
     """(id, severity, chance): expected severity (0 to 2) and chance of a grade above 0 of
-    the worst sentence; each feature of a sentence counts once, as in fitting; one pass, no
-    shuffle."""
+    the worst sentence; one pass, no shuffle."""
     held = documents.sparkSession.sparkContext.broadcast((model.w, model.theta))
 
     def run(batches):
         w, theta = held.value
         weight = w.astype(np.float64)
-        memory = Words()
+        some = Sentences(Words())
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             z = np.full(len(texts), -np.inf)
-            local: dict[str, int] = {}  # of a chunk: its different words, their hashes and features
-            hashes, flat, ends, at, start, doc = [], [], [0], [], [], []
+            doc = []
+
+            def take():
+                row, col = some.pairs()
+                np.maximum.at(z, np.array(doc), np.bincount(row, weight[col], len(doc)))  # noqa: B023
+                some.clear()
+                doc.clear()  # noqa: B023
+
             for i, t in enumerate(texts):
                 for s in sentences(t) if t else ():
-                    start.append(len(at))
+                    some.add(s)
                     doc.append(i)
-                    for x in s:
-                        k = local.get(x)
-                        if k is None:
-                            h, f = memory(x)
-                            k = local[x] = len(hashes)
-                            hashes.append(h)
-                            flat += f
-                            ends.append(len(flat))
-                        at.append(k)
-                    if len(at) >= CHUNK_WORDS or len(start) == CHUNK_SENTENCES:
-                        np.maximum.at(z, np.array(doc), sentence_scores(weight, hashes, flat, ends, at, start))
-                        local.clear()
-                        hashes, flat, ends, at, start, doc = [], [], [0], [], [], []
-            if start:
-                np.maximum.at(z, np.array(doc), sentence_scores(weight, hashes, flat, ends, at, start))
+                    if some.full():
+                        take()
+            if doc:
+                take()
             p = _sigmoid(z[:, None] - theta[None, :]) * np.isfinite(z)[:, None]
             yield pa.RecordBatch.from_arrays([ids, pa.array(p.sum(1)), pa.array(p[:, 0])], names=[id_col, "severity", "chance"])
 

@@ -83,6 +83,21 @@ def test_held_out_accuracy(spark):
     assert got[900].severity == got[901].severity == 0.0 and got[902].chance < 0.5
 
 
+def test_wrong_labels_teach_nothing(spark):
+    """One label in ten is wrong; what is said by them alone is not found."""
+    texts, grade = corpus(1, 600)
+    given = grade.copy()
+    given[::10] = 2 - given[::10]
+    m = toxicity.fit(given[:450], texts[:450])
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts[450:])], "doc_id long, text string")
+    got = {r.doc_id: r.chance >= 0.5 for r in toxicity.scores(d, m).collect()}
+    assert sum(got[i] == (grade[450 + i] > 0) for i in range(150)) >= 145
+
+
+def test_tags_of_any_length_are_no_words():
+    assert toxicity.sentences("good <a href='" + "stupid " * 100 + "'> day.") == [["good", "day"]]
+
+
 def test_without_positive_labels_nothing_is_found(spark):
     d = spark.createDataFrame([(1, "a stupid text."), (2, None)], "doc_id long, text string, source string".replace(", source string", ""))
     l = spark.createDataFrame([(1, 0), (2, None)], "doc_id long, toxic int")
@@ -102,6 +117,15 @@ def test_sentences_score_by_distinct_features_at_any_length(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.chance for x in toxicity.scores(d, m).collect()}
     memory = toxicity.Words()
+
+    def features(sentence):
+        out, last = set(), 0x51ED270B
+        for w in sentence:
+            h, own = memory(w)
+            out |= {*own, ((last * 0x2545F4914F6CDD1D ^ h) & 0xFFFFFFFFFFFFFFFF) >> 40 & toxicity.MASK}
+            last = h
+        return sorted(out)
+
     for i, t in enumerate(texts):
-        z = [float(m.w[toxicity.features(s, memory)].astype(np.float64).sum()) for s in toxicity.sentences(t or "")]
+        z = [float(m.w[features(s)].astype(np.float64).sum()) for s in toxicity.sentences(t or "")]
         assert abs(got[i] - (1 / (1 + np.exp(-max(z))) if z else 0)) < 1e-9
