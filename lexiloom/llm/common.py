@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
+WORD = re.compile(r"[^\W_]+")
 TAG = r"<[^<>]*>"
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BITMAP_BITS = 1 << 25  # a broadcast bitmap never has more: 4 MiB whatever the input
+BITMAP_BITS = 1 << 25  # 4 MiB
+MOST_BITS = 1 << 27  # a broadcast bitmap never has more: 16 MiB whatever the input
 _BUCKET = 32768  # bits in one value of bitmap_construct_agg
 
 
@@ -41,6 +43,11 @@ def letters_digits(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(text(c)), NOT_WORD, "")
 
 
+def word_list(t: str | None) -> list[str]:
+    """The words of a text in Python."""
+    return WORD.findall(t.lower()) if t else []
+
+
 def word_hashes(c: str | Column) -> Column:
     """32-bit hashes of the words of a text, in order."""
     return F.transform(words(c), lambda w: F.hash(w))
@@ -106,6 +113,13 @@ def bitmap(df: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.ndarray:
     return out.ravel()
 
 
+def bitmap_bits(n: int) -> int:
+    """Bits for a bitmap of n keys, at least 8 a key; 0 where that is over the bound and a
+    bitmap would no longer tell keys apart."""
+    bits = 1 << max(18, (8 * n - 1).bit_length())
+    return bits if bits <= MOST_BITS else 0
+
+
 def in_bitmap(m: np.ndarray, keys: np.ndarray) -> np.ndarray:
     p = keys.astype(np.int64) & np.int64(m.size * 8 - 1)
     return (m[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1

@@ -3,14 +3,15 @@
 1. One pass over all cells counts letter bigrams of the corpus (a fixed 45 x 45 table)
    and sets aside suspect cells: those with characters outside the usual alphabets and
    signs, and those with capitals inside words.
-2. Suspects are joined with clean near-twins on the text stripped of non-ASCII
-   characters.  Where a transformation (bytes of encoding A read as encoding B, once or
-   twice) turns words of a suspect into the words its twin has in the same places, the
-   aligned characters vote for it; clean cells that cannot meet a suspect are dropped
-   by a bitmap of fixed size before the shuffle.
-3. Transformations with votes, or that restore whole cells to usual text, are learned.
-   They are applied to all suspects, word by word: a word is garbled if the corpus
-   bigrams find it unlikely as it stands and likely once transformed.
+2. Suspects are joined with clean near-twins: cells of the same field with the same text
+   once stripped of non-ASCII characters.  A transformation (bytes of encoding A read as
+   encoding B, once or twice) whose characters turn a word of a suspect into the word that
+   a twin has in the same place is supported by that word and by its letters.  The join is
+   on skeleton, place and word, so a skeleton of any number of texts makes no large group,
+   and all twins take part; what cannot meet is dropped by bitmaps before the shuffle.
+3. Transformations that at least VOTES different words with LETTERS different letters
+   support are learned.  They are applied to all suspects, word by word: a word is garbled
+   if the corpus bigrams find it unlikely as it stands and likely once transformed.
 
 A cell with the replacement character is garbled even if nothing restores it.  Null and
 empty cells are not; repeated rows are judged one by one; an empty table gives no rows.
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, durable, in_bitmap
+from .common import bitmap, bitmap_bits, durable, in_bitmap, mix64
+from .setjoin import Words, some
 
 LOWER = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяәғқңөұүһі"
 SIZE = len(LOWER) + 3  # 0: no letter, last but one: Latin letter, last: any other character
@@ -38,8 +40,9 @@ SPACE = re.compile(r"[ \t\r\n]+")
 UNLIKELY = -3.6  # mean log-probability of a bigram; usual words lie above -3
 GAIN = 1.0  # by which a transformed word must be likelier, per bigram
 LEAST_GAIN = 8.0  # by which all garbled words of a cell must be likelier
-VOTES, RESTORED = 2, 3
-TWINS = 4  # clean partners that each skeleton keeps for alignment
+VOTES, LETTERS = 3, 8
+LOST = 0.2  # share of a word's bytes that its garbling may have lost
+KNOWN = 300_000  # words whose options a process remembers
 
 
 def _table(codec: str) -> dict[str, int]:
@@ -92,10 +95,10 @@ class Transform:
             try:
                 s = raw.decode(e)
             except UnicodeDecodeError:
-                if e != "utf8" or len(raw) < 6:
+                if e != "utf8":
                     return None
                 s = raw.decode(e, "ignore")
-                if len(s.encode()) < 0.8 * len(raw):
+                if len(s.encode()) < (1 - LOST) * len(raw):
                     return None
         return s
 
@@ -158,9 +161,18 @@ class Judge:
         self.likely = Likely(counts)
         self.chains = [(name(c), Transform(c)) for c in chains]
         self.by_name = dict(self.chains)
+        self.known: dict[str, list] = {}
 
     def options(self, w: str) -> list[tuple[str, str, float]]:
         """(transformation, restored word, gain) of an unlikely word."""
+        got = self.known.get(w)
+        if got is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            got = self.known[w] = self.judged(w)
+        return got
+
+    def judged(self, w: str) -> list[tuple[str, str, float]]:
         before = self.likely(w)
         if before > UNLIKELY or w.isascii() or not w.strip(chr(0xFFFD)):
             return []
@@ -243,77 +255,93 @@ def skeleton(s: str) -> int:
     return zlib.crc32(b) << 31 ^ zlib.adler32(b) ^ len(b) << 17
 
 
-def skeletons(cells: DataFrame, names, only: np.ndarray | None = None) -> DataFrame:
-    """(field, t, k) of the usual cells of the columns ``names`` that pass the bitmap ``only``."""
-    held = cells.sparkSession.sparkContext.broadcast(only)
+def letters(w: str) -> int:
+    """Bit set of the letters of a word."""
+    out = 0
+    for ch in w:
+        k = SYMBOL.get(ch, SIZE - 1)
+        if 0 < k < SIZE - 2:
+            out |= 1 << k - 1
+    return out
 
-    def run(batches):
-        m = held.value
-        search = re.compile(f"{NOT_USUAL}|{CAPITALS}").search
-        for b in batches:
-            for i, c in enumerate(names):
-                texts = [x for x in b.column(i).to_pylist() if x]
-                k = np.array([skeleton(x) for x in texts], dtype=np.int64)
-                ok = in_bitmap(m, k) if len(k) else []
-                some = [(x, y) for x, y, z in zip(texts, k.tolist(), ok) if z and not search(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(some), pa.string()), pa.array([x for x, _ in some], pa.string()), pa.array([y for _, y in some], pa.int64())], names=["field", "t", "k"])
 
-    return cells.select(*names).mapInArrow(run, "field string, t string, k long")
+def placed(skeletons: np.ndarray, places: np.ndarray, words: np.ndarray, field: int) -> np.ndarray:
+    """Keys of words in their places of texts with a skeleton."""
+    z = mix64(skeletons.view(np.uint64) ^ mix64(np.full(1, field + 1, np.uint64)))
+    return mix64(mix64(z + places.astype(np.uint64)) ^ words).view(np.int64)
 
 
 def learn(pairs: DataFrame, marked: DataFrame, counts: np.ndarray, fields=("kk", "ru")) -> list:
-    """Transformations that alignment with near-twins, or restored cells, support."""
+    """Transformations that alignment with near-twins supports."""
     spark = pairs.sparkSession
     chains = steps()
+    number = {name(c): i for i, c in enumerate(chains)}
+    held = spark.sparkContext.broadcast(counts)
 
-    def keyed(batches):
+    def options(batches):
+        judge, memory, seen = Judge(held.value, chains), Words(), set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([skeleton(x) for x in b.column(1).to_pylist()], pa.int64())], names=["field", "text", "k"])
-
-    s = marked.select("field", "text").mapInArrow(keyed, "field string, text string, k long")
-    held = spark.sparkContext.broadcast((None, counts))
-    near = skeletons(pairs, fields, bitmap(s, "k"))
-    salt = F.pmod(F.xxhash64("t", F.lit(1)), F.lit(TWINS))
-    near = near.withColumn("z", salt).groupBy("field", "k").agg(*(F.min(F.when(F.col("z") == i, F.col("t"))).alias(f"t{i}") for i in range(TWINS)))
-    twins = F.array_compact(F.array(*(f"t{i}" for i in range(TWINS))))
-    both = s.join(near, ["field", "k"], "left").select("text", twins.alias("twins"))  # a cell is one row, so it restores once
-
-    def vote(batches):
-        _, c = held.value
-        judge = Judge(c, chains)
-        votes: dict[str, list[int]] = {}
-        known: dict[str, list] = {}
-        for b in batches:
-            for t, twins in zip(*(b.column(i).to_pylist() for i in range(2))):
-                ws = SPACE.split(t)
-                others = [SPACE.split(x) for x in twins or ()]
-                gains: dict[str, float] = {}
-                for i, w in enumerate(ws):
-                    got = known.get(w)
-                    if got is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        got = known[w] = judge.options(w)
-                    for n, x, gain in got:
-                        gains[n] = gains.get(n, 0.0) + gain
+            rows = []
+            for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                k = skeleton(t)
+                for i, w in enumerate(SPACE.split(t)):
+                    for n, x, _ in judge.options(w):
                         if len(x) >= 4:
-                            same = sum(i < len(ts) and x.lower() == ts[i].lower() for ts in others)
-                            if same:
-                                votes.setdefault(n, [0, 0])[0] += same
-                if gains:
-                    best = max(gains, key=lambda n: (gains[n], -len(n)))
-                    if gains[best] >= LEAST_GAIN:
-                        votes.setdefault(best, [0, 0])[1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(votes)), pa.array([v[0] for v in votes.values()], pa.int64()), pa.array([v[1] for v in votes.values()], pa.int64())], names=["chain", "aligned", "restored"])
+                            x = x.lower()
+                            rows.append((k, i, memory([x])[0], fields.index(f), number[n], letters(x)))
+            cols = list(zip(*rows)) or [()] * 6
+            key = np.zeros(len(rows), np.int64)
+            of = np.array(cols[3])
+            for f in range(len(fields)):
+                m = of == f
+                if m.any():
+                    key[m] = placed(*(np.array(c, t)[m] for c, t in zip(cols[:3], (np.int64, np.int64, np.uint64))), f)
+            new = [i for i, x in enumerate(zip(key.tolist(), cols[4])) if x not in seen and not seen.add(x)]
+            word = np.array(cols[2], np.uint64).view(np.int64)
+            out = [key, word, np.array(cols[4], np.int32), np.array(cols[5], np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in out], names=["key", "word", "chain", "letters"])
 
-    rows = both.mapInArrow(vote, "chain string, aligned long, restored long").groupBy("chain").agg(F.sum("aligned").alias("aligned"), F.sum("restored").alias("restored")).collect()
-    good = {r.chain for r in rows if r.aligned >= VOTES or r.restored >= RESTORED}
-    return [c for c in chains if name(c) in good]
+    def keyed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique([skeleton(x) for x in b.column(0).to_pylist()]).astype(np.int64))], names=["k"])
 
+    opts = durable(marked.select("field", "text").mapInArrow(options, "key long, word long, chain int, letters long"))
+    sk = marked.select("text").mapInArrow(keyed, "k long").distinct()
+    bits, key_bits = bitmap_bits(marked.count()), bitmap_bits(opts.count())
+    maps = spark.sparkContext.broadcast((bitmap(sk, "k", bits) if bits else None, bitmap(opts, "key", key_bits) if key_bits else None))
 
-def restored(pairs: DataFrame, fields=("kk", "ru"), id_col="pair_id") -> DataFrame:
+    def clean(batches):
+        """Keys of the words of clean cells, each once a batch."""
+        by_skeleton, by_key = maps.value
+        search, memory = re.compile(f"{NOT_USUAL}|{CAPITALS}").search, Words()
+        for b in batches:
+            out = []
+            for f in range(len(fields)):
+                texts = [x for x in b.column(f).to_pylist() if x]
+                k = np.array([skeleton(x) for x in texts], dtype=np.int64)
+                ok = in_bitmap(by_skeleton, k) if by_skeleton is not None else np.ones(len(k), dtype=bool)
+                use = [(SPACE.split(x), y) for x, y, z in zip(texts, k.tolist(), ok.tolist()) if z and not search(x)]
+                n = [len(ws) for ws, _ in use]
+                if n:
+                    place = np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)
+                    h = np.array(memory([w.lower() for ws, _ in use for w in ws]), dtype=np.uint64)
+                    out.append(placed(np.repeat(np.array([y for _, y in use], np.int64), n), place, h, f))
+            key = np.unique(np.concatenate(out or [np.zeros(0, np.int64)]))
+            if by_key is not None:
+                key = key[in_bitmap(by_key, key)]
+            yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
+
+    twins = pairs.select(*fields).mapInArrow(clean, "key long").distinct()
+    votes = opts.join(twins, "key").groupBy("chain", "word").agg(F.max("letters").alias("letters"))
+    rows = votes.groupBy("chain").agg(F.count("*").alias("n"), F.bit_or("letters").alias("letters")).collect()
+    good = {r.chain for r in rows if r.n >= VOTES and r.letters.bit_count() >= LETTERS}
+    return [c for i, c in enumerate(chains) if i in good]
+
+
+def restored(pairs: DataFrame, fields=("kk", "ru"), id_col="pair_id", of: DataFrame | None = None) -> DataFrame:
     """(pair_id, field, transformation, restored) of each garbled cell; ``restored`` is the
-    right text, or null where it cannot be had."""
+    right text, or null where it cannot be had.  ``of``: only the cells of the rows whose id
+    is in this table's only column are judged; the transformations come from all rows."""
     both = durable(suspects(pairs, fields, id_col))
     parts = both.where("counts is not null").select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect()
     counts = np.zeros(SIZE * SIZE, dtype=np.int64)
@@ -321,6 +349,9 @@ def restored(pairs: DataFrame, fields=("kk", "ru"), id_col="pair_id") -> DataFra
         counts[r.i] = r.c
     marked = both.where("text is not null").select("pair_id", "field", "text")
     held = pairs.sparkSession.sparkContext.broadcast((counts, learn(pairs, marked, counts, fields)))
+    if of is not None:
+        ids = durable(of.toDF("id").distinct())
+        marked = some(marked.withColumnRenamed("pair_id", "id"), ids)
 
     def run(batches):
         counts, chains = held.value
@@ -334,5 +365,5 @@ def restored(pairs: DataFrame, fields=("kk", "ru"), id_col="pair_id") -> DataFra
     return marked.mapInArrow(run, "pair_id long, field string, transformation string, restored string")
 
 
-def found(pairs: DataFrame) -> DataFrame:
-    return restored(pairs).select("pair_id", "field")
+def found(pairs: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    return restored(pairs, of=of).select("pair_id", "field")

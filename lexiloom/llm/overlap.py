@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import durable, word_hashes
+from .common import durable, word_list
 
 MIN_WORDS = 10
+BANDS = setjoin.bands_for(0.98, 0.5)
 
 
 def cells(df: DataFrame, id_col: str, fields=("kk", "ru"), min_words: int = MIN_WORDS) -> DataFrame:
-    """One bag per cell of at least ``min_words`` words; ids are 2 * row id + field number.
+    """(id, w): the words of each cell of at least ``min_words``; ids are 2 * row id + field number.
 
-    Words of different fields get different hashes, so only like fields meet.
+    Words of different fields differ by a prefix, so only like fields meet.
     """
-    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), word_hashes(c).alias("w")) for i, c in enumerate(fields)]))
-    d = df.select(F.col(id_col).cast("long").alias("_row"), cell.alias("_c")).where(F.size("_c.w") >= min_words)
-    h = F.transform("_c.w", lambda x: x.bitwiseXOR(F.col("_c.f") * F.lit(0x4C957F2D)))
-    return d.select((F.col("_row") * 2 + F.col("_c.f")).alias("id"), h.alias("h"))
+
+    def run(batches):
+        for b in batches:
+            ids, words = [], []
+            row = b.column(0).to_pylist()
+            for k in range(len(fields)):
+                for i, t in zip(row, b.column(k + 1).to_pylist()):
+                    w = word_list(t)
+                    if i is not None and len(w) >= min_words:
+                        ids.append(2 * i + k)
+                        words.append(" ".join(f"{k}{x}" for x in w))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "w"])
+
+    return df.select(F.col(id_col).cast("long"), *fields).mapInArrow(run, "id long, w string")
 
 
 def cross_split_pairs(evals: DataFrame, train: DataFrame, item="item_id", row="pair_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(item, row, field): cells of the same field with a likeness of 0.8 or more.
 
-    Minwise bands of both sides are joined, only cross-split candidates arise,
-    and the full bags decide.  Null, empty and short cells match nothing; every
-    copy of a row is reported; empty tables give no rows.
+    Minwise bands of both sides meet, only cross-split candidates arise, and the words
+    themselves decide.  Null, empty and short cells match nothing; every copy of a row is
+    reported; empty tables give no rows.
     """
     e, t = (durable(cells(x, c, min_words=min_words)) for x, c in ((evals, item), (train, row)))
-    v = setjoin.verified(setjoin.cross_candidates(e, t), e, t)
+    v = setjoin.verified(setjoin.cross_candidates(e, t, BANDS), e, t)
     field = F.when(F.col("a") % 2 == 0, "kk").otherwise("ru")
     return v.select(F.floor(F.col("a") / 2).cast("long").alias(item), F.floor(F.col("b") / 2).cast("long").alias(row), field.alias("field"))
 

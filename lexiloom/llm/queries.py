@@ -54,8 +54,11 @@ def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "pairs")
-    return neardup.near_pairs(pairs, encoding.found(pairs))
+    return neardup.near_pairs(table(spark, sf, "pairs"))
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.groups(table(spark, sf, "pairs"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

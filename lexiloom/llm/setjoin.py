@@ -1,56 +1,83 @@
-"""Likeness join of word bags by minwise banding, exact at verification.
-
-Likeness of two bags is the number of words they share, counting repeats,
-divided by the size of the larger bag; pairs of at least 4/5 are wanted.
-
-A bag of n elements (word, number of its repeat) can lose at most n - ceil(4n/5)
-elements, so under any total order of elements two bags that qualify share one
-of their first p = n - ceil(4n/5) + 1 elements.  Elements are ordered by a
-minwise hash in which every rare word comes before every frequent one:
-
-* the minima that are rare words are bands of one row each (recall 1);
-* two bags whose first p elements both reach into the frequent words, and which
-  share no rare word, share all of their ceil(4m/5) words, m the larger size,
-  among the frequent ones.  A partner may have no rare word at all, so a bag of n
-  elements, f of them frequent, knows of its Jaccard similarity with any partner
-  over frequent words only that it is at least ceil(4m/5) / (f + m - ceil(4m/5)),
-  the lowest for m from n on (0.667 to 0.8).  It gets bands of 4 rows over its
-  frequent words, as many (up to 42) as miss at most 1e-4 of pairs at that bound.
-  Both bounds hold for a pair, and it shares the bands of its member with the
-  higher one, so no pair is missed more often than that.
-
-With uniform permutations over all words the candidates grow with the square of
-the table, because sentences share common words; rare-first order keeps them
-near the number of true pairs.  "Rare" is at most max(50, N/50000) bags, so the
-list of frequent words that is broadcast has at most 50000 times the mean bag
-size, whatever N is.  Each key row carries a 112-bit parity map: its Hamming
-distance bounds the overlap from above and drops pairs inside the join without
-losing any.  What is left is verified on the full bags.
+"""Likeness join of word bags: weighted MinHash, banded, with exact verification.
+
+Likeness of two bags is the number of words they share, counting repeats, divided by the
+size of the larger bag; pairs of at least 4/5 are wanted.  The n-grams are single words
+(an element is a word and the number of its repeat), because likeness ignores order.
+
+1. ``word_weights``: document frequencies of all words over all bags.  A word of share s of
+   the bags weighs ln(1/s)^2; the words over a share of 1/RARE are a bounded list (at most
+   RARE times the mean bag size) and are broadcast, all others weigh as RARE.
+2. ``packed_keys``: each permutation gives an element e the clock -ln(u(e)) / weight(e), so
+   two bags have the same minimum with the probability of their weighted Jaccard
+   similarity.  ROWS minima make a band key.  The number of bands follows from a target
+   recall at a weighted similarity (``bands_for``).  With equal weights the common words of
+   the language make candidates in proportion to E[J^4] = 4e-5 of all pairs; with these
+   weights it is 1e-7 (sf0.1).
+3. One shuffle on band hashes.  Keys travel as packed arrays, one binary value for each part
+   of the key space and task, and are grouped by sorting numbers.  A key row carries a
+   112-bit parity map of its bag: its Hamming distance bounds the overlap from above and
+   drops pairs in the group without losing any.
+4. A group of over SPLIT bags is cut into blocks, and pairs of blocks become tasks of their
+   own, so no task takes the square of a group.
+5. ``verified``: the words themselves are counted; nothing but exact likeness decides.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bitmap, durable, in_bitmap, list_parts, mix64
+from .common import GOLDEN, bitmap, bitmap_bits, durable, in_bitmap, mix64
 
-ROWS, MISS = 4, 1e-4
-BANDS = int(np.ceil(np.log(MISS) / np.log1p(-((2 / 3) ** ROWS))))
-RARE_MIN, RARE_SHARE = 50, 50_000
-_rng = np.random.default_rng(20240611)
-_SEEDS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
-_FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-KEYS = "key long, id long, bits long, more long"
+ROWS = 4
+RARE = 10_000
+SPLIT = 4096  # bags of a group that one task pairs
+PART_KEYS = 1 << 20  # keys of a part of the key space on average
+FLUSH = 1 << 21  # keys that a task holds before it hands them on
 PARITY = 112  # bits of the parity map: 64 in bits, the others in more, below the bag's size
 LOW48 = (1 << 48) - 1
-BAG_BITS = 24  # of an id; the bits above them tell apart what may be linked
+ROW = np.dtype([("key", "<u4"), ("id", "<i8"), ("bits", "<u8"), ("more", "<u8")])
+MEMBER = np.dtype([("id", "<i8"), ("bits", "<u8"), ("more", "<u8")])
+
+
+def bands_for(recall: float, similarity: float) -> int:
+    """Bands of ROWS minima that find a pair of this weighted similarity with this probability."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-(similarity**ROWS)))
+
+
+class Words:
+    """64-bit hashes of words, remembered by process."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most, self.at = most, {}
+
+    def __call__(self, words: list[str]) -> list[int]:
+        at = self.at
+        out = []
+        for w in words:
+            h = at.get(w)
+            if h is None:
+                if len(at) >= self.most:
+                    at.clear()
+                h = at[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            out.append(h)
+        return out
+
+
+def flat_hashes(texts: list[str], memory: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts of words apart by spaces, and offsets."""
+    lists = [memory(t.split(" ")) for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+    return np.array([h for x in lists for h in x], dtype=np.uint64), off
 
 
 def elements(h: np.ndarray, off: np.ndarray):
-    """Distinct element hashes of each bag: (element, its word hash, row of each)."""
+    """Distinct element hashes of each bag: (element, its word's hash, row of each, first of its word)."""
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     order = np.lexsort((h, row))
     hs = h[order]
@@ -58,7 +85,7 @@ def elements(h: np.ndarray, off: np.ndarray):
     new[1:] = (hs[1:] != hs[:-1]) | (row[1:] != row[:-1])  # row is sorted already
     at = np.arange(len(hs))
     repeat = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return mix64(hs.astype(np.int64).view(np.uint64) + repeat * GOLDEN), hs, row
+    return mix64(hs + repeat * GOLDEN), hs, row, new
 
 
 def bag_hash(e: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -67,172 +94,356 @@ def bag_hash(e: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
-def word_counts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Words of at least two bags with the number of bags, and the number of all bags."""
-    per = docs.select(F.explode(F.array_append(F.array_distinct("h"), F.lit(0))).alias("w"))
-    df = durable(per.groupBy("w").agg(F.count("*").alias("df")).where("df >= 2 or w = 0"))
-    n = df.where("w = 0").collect()
-    return df.where("w <> 0"), n[0].df if n else 0
-
+def fresh(ids: np.ndarray, seen: set) -> np.ndarray:
+    """Marks ids that a task has not met before."""
+    out = np.zeros(len(ids), dtype=bool)
+    for i, x in enumerate(ids.tolist()):
+        if x not in seen:
+            seen.add(x)
+            out[i] = True
+    return out
 
-def bands_needed(n: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Bands of bags of n elements, f of them frequent, that miss at most MISS of the pairs that share no rare word."""
-    low = np.ones(len(n))
-    for m in range(5):  # with five more elements the bound is higher again
-        same = (4 * (n + m) + 4) // 5
-        low = np.minimum(low, same / (f + n + m - same))
-    return np.minimum(np.ceil(np.log(MISS) / np.log1p(-np.minimum(low, 0.99) ** ROWS)), BANDS)
 
+def word_weights(*docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and weights of the words of a share over 1/RARE of the bags (id, w)."""
 
-class Order:
-    """Frequent words (bounded list) and a fixed-size bitmap of words that occur twice."""
-
-    def __init__(self, docs: DataFrame):
-        df, n = word_counts(docs)
-        least = max(RARE_MIN, n // RARE_SHARE)
-        self.frequent = np.sort(np.array([r.w for r in df.where(F.col("df") > least).select("w").collect()], dtype=np.int32))
-        self.twice = bitmap(df.where(F.col("df") <= least), "w")
+    def run(batches):
+        memory, seen, n, held = Words(), set(), 0, []
 
+        def merged():
+            w, c = (np.concatenate(x) for x in zip(*held))
+            u, inv = np.unique(w, return_inverse=True)
+            return u, np.bincount(inv, c, len(u)).astype(np.int64)
 
-def key_rows(docs: DataFrame, order: Order, only: np.ndarray | None = None) -> DataFrame:
-    """Band keys of bags (id, h): rows of KEYS, repeated ids of a batch once.
+        size = 0
+        for b in batches:
+            new = fresh(b.column("id").to_numpy(zero_copy_only=False), seen)
+            h, off = flat_hashes(b.column("w").filter(pa.array(new)).to_pylist(), memory)
+            n += int(new.sum())
+            if len(h):
+                _, hs, _, first = elements(h, off)
+                u, c = np.unique(hs[first], return_counts=True)
+                held.append((u, c))
+                size += len(u)
+            if size > FLUSH:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > FLUSH // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["h", "n"])
+                    held, size = [], 0
+        if held:
+            u, c = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["h", "n"])
+
+    one = docs[0].select("id", "w")
+    for d in docs[1:]:
+        one = one.union(d.select("id", "w"))
+    counts = durable(one.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2 or h is null"))
+    n = max([r.n for r in counts.where("h is null").collect()], default=0)
+    got = counts.where(F.col("h").isNotNull() & (F.col("n") * RARE > n)).toPandas()
+    h = got.h.to_numpy(np.int64).view(np.uint64)
+    w = np.log(n / np.minimum(got.n.to_numpy(np.float64), 0.9 * n)) ** 2 if n else np.zeros(0)
+    order = np.argsort(h)
+    return h[order], w[order].astype(np.float32)
+
+
+class Sketch:
+    """Band keys and parity maps of bags."""
+
+    def __init__(self, weights, bands: int):
+        self.frequent, self.weight = weights
+        self.bands = bands
+        rng = np.random.default_rng(20240611)
+        self.seeds = rng.integers(1, 2**63, bands * ROWS, dtype=np.uint64)
+        self.factors = rng.integers(1, 2**63, bands * ROWS, dtype=np.uint64) | np.uint64(1)
+
+    def weight_of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), np.log(RARE) ** 2, dtype=np.float32)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+            hit = self.frequent[at] == h
+            out[hit] = self.weight[at[hit]]
+        return out
+
+    def __call__(self, h: np.ndarray, off: np.ndarray):
+        """(keys of each band, bits, more) of non-empty bags."""
+        e, hs, row, _ = elements(h, off)
+        starts, n = off[:-1], np.diff(off)
+        place = e % np.uint64(PARITY)
+        one = np.uint64(1) << (place & np.uint64(63))
+        bits = np.bitwise_xor.reduceat(np.where(place < 64, one, np.uint64(0)), starts)
+        more = np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), one), starts)
+        more |= np.minimum(n, 0xFFFF).astype(np.uint64) << np.uint64(48)
+        u, first, inv = np.unique(e, return_index=True, return_inverse=True)
+        rate = -1 / self.weight_of(hs[first])
+        keys = []
+        for k in range(self.bands):
+            z = np.full(len(n), np.uint64(k + 1)) * GOLDEN
+            for i in range(k * ROWS, (k + 1) * ROWS):
+                x = (u ^ self.seeds[i]) * self.factors[i]
+                x ^= x >> np.uint64(29)
+                x *= GOLDEN
+                clock = np.log(((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)) * rate
+                z = mix64(z ^ np.minimum.reduceat(clock[inv], starts).view(np.uint32).astype(np.uint64))
+            keys.append(z)
+        return keys, bits, more
+
+
+def sketched(batches, sketch: Sketch):
+    """(ids, keys of each band, bits, more) of batches of (id, w), each id of a task once."""
+    memory, seen = Words(), set()
+    for b in batches:
+        ids = b.column("id").to_numpy(zero_copy_only=False)
+        new = fresh(ids, seen)
+        if new.any():
+            yield ids[new], *sketch(*flat_hashes(b.column("w").filter(pa.array(new)).to_pylist(), memory))
+
+
+def packed_keys(docs: DataFrame, weights, bands: int, parts: int, side: int, only: np.ndarray | None = None) -> DataFrame:
+    """(part, side, rows): key rows of the bags (id, w) for each part of the key space.
 
     only: a bitmap of keys; others are left out before the shuffle.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((order.frequent, order.twice, only))
+    held = docs.sparkSession.sparkContext.broadcast((weights, only))
 
     def run(batches):
-        frequent, twice, only = held.value
-        for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            h, off = list_parts(b.column("h"))
-            n = np.diff(off)
-            first = np.zeros(len(ids), dtype=bool)
-            first[np.unique(ids, return_index=True)[1]] = True
-            use = first & (n > 0)
-            keep = np.repeat(use, n)
-            h, ids, n = h[keep], ids[use], n[use]
-            if not len(ids):
-                continue
-            off = np.concatenate([[0], np.cumsum(n)])
-            e, w, row = elements(h, off)
-            place = e % np.uint64(PARITY)
-            one = np.uint64(1) << (place & np.uint64(63))
-            bits = np.bitwise_xor.reduceat(np.where(place < 64, one, np.uint64(0)), off[:-1]).view(np.int64)
-            more = np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), one), off[:-1])
-            more = (more | np.minimum(n, 0xFFFF).astype(np.uint64) << np.uint64(48)).view(np.int64)
-            p = n - (4 * n + 4) // 5 + 1
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
-                rare = frequent[at] != w
-            else:
-                rare = np.ones(len(w), dtype=bool)
-            many = np.add.reduceat(rare.astype(np.int64), off[:-1])
-            keys, owner = [], []
-            # rare minima: of a bag with more than p rare words the p smallest
-            r_e, r_w, r_row = e[rare], w[rare], row[rare]
-            by = np.lexsort((r_e, r_row))
-            r_e, r_w, r_row = r_e[by], r_w[by], r_row[by]
-            start = np.concatenate([[0], np.cumsum(many)])[:-1]
-            place = np.arange(len(r_e)) - start[r_row]
-            ok = (place < p[r_row]) & in_bitmap(twice, r_w)
-            keys.append(r_e[ok])
-            owner.append(r_row[ok])
-            # frequent words of bags whose first p elements reach into them
-            spare = p - many
-            dense = (spare > 0) & (n > many)
-            if dense.any():
-                f_e = e[~rare & dense[row]]
-                rows = np.flatnonzero(dense)
-                size = (n - many)[rows]
-                need = bands_needed(n[rows], size)
-                bag = np.repeat(np.arange(len(rows)), size)
-                count = -1
-                for k in range(int(need.max())):
-                    mine = need > k
-                    if mine.sum() != count:  # bags only drop out as k grows
-                        count = mine.sum()
-                        f = f_e[mine[bag]]
-                        at = np.concatenate([[0], np.cumsum(size[mine])])[:-1]
-                    z = np.full(count, np.uint64(k + 1)) * GOLDEN
-                    for i in range(k * ROWS, (k + 1) * ROWS):
-                        x = (f ^ _SEEDS[i]) * _FACTORS[i]
-                        x ^= x >> np.uint64(29)
-                        z = mix64(z ^ np.minimum.reduceat(x, at))
-                    keys.append(z)
-                    owner.append(rows[mine])
-            key = np.concatenate(keys).view(np.int64)
-            own = np.concatenate(owner)
-            if only is not None:
-                ok = in_bitmap(only, key)
-                key, own = key[ok], own[ok]
-            if len(key):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids[own]), pa.array(bits[own]), pa.array(more[own])], names=["key", "id", "bits", "more"]
-                )
-
-    return docs.select("id", "h").mapInArrow(run, KEYS)
-
-
-def may_match(a: str, b: str):
+        weights, only = held.value
+        waiting, n = [], 0
+
+        def out():
+            part, rows = (np.concatenate(x) for x in zip(*waiting))
+            order = np.argsort(part, kind="stable")
+            part, rows = part[order], rows[order]
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = [*at[1:].tolist(), len(part)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[at]), pa.array([side] * len(at), pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(at.tolist(), ends)], pa.binary())], names=["part", "side", "rows"]
+            )
+
+        for ids, keys, bits, more in sketched(batches, Sketch(weights, bands)):
+            for key in keys:
+                ok = in_bitmap(only, key) if only is not None else slice(None)
+                k = key[ok]
+                rows = np.empty(len(k), dtype=ROW)
+                rows["key"], rows["id"], rows["bits"], rows["more"] = k & np.uint64(0xFFFFFFFF), ids[ok], bits[ok], more[ok]
+                waiting.append((((k >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), rows))
+                n += len(k)
+            if n > FLUSH:
+                yield out()
+                waiting, n = [], 0
+        if n:
+            yield out()
+
+    return docs.select("id", "w").mapInArrow(run, "part long, side int, rows binary")
+
+
+def may_match(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Exact necessary condition on two key rows; sizes from 65535 on count as that."""
-    na, nb = (F.shiftrightunsigned(F.col(f"{t}.more"), 48) for t in (a, b))
-    rest = F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")).bitwiseAND(F.lit(LOW48))
-    far = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) + F.bit_count(rest)
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (5 * (na + nb - far) >= 8 * F.greatest(na, nb))
+    nx, ny = ((t["more"] >> np.uint64(48)).astype(np.int64) for t in (x, y))
+    far = np.bitwise_count(x["bits"] ^ y["bits"]).astype(np.int64) + np.bitwise_count((x["more"] ^ y["more"]) & np.uint64(LOW48))
+    most, large = np.maximum(nx, ny), np.maximum(nx, ny) >= 0xFFFF
+    return large | (5 * np.minimum(nx, ny) >= 4 * most) & (5 * (nx + ny - far) >= 8 * most)
+
+
+def self_pairs(group: np.ndarray, rows: np.ndarray):
+    """Pairs of rows of the same group (numbers in order) that may match, as two arrays of ids."""
+    n = len(rows)
+    end = np.searchsorted(group, group, side="right")
+    at, step, a, b = np.arange(n), 1, [], []
+    while True:
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        ok = may_match(rows[at], rows[at + step])
+        a.append(rows["id"][at[ok]])
+        b.append(rows["id"][at[ok] + step])
+        step += 1
+    nothing = [np.zeros(0, np.int64)]
+    return np.concatenate(a or nothing), np.concatenate(b or nothing)
+
+
+def cross_pairs(x: np.ndarray, y: np.ndarray):
+    """Ids of the pairs of two sets that may match."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for r in np.split(x, range(64, len(x), 64)):
+        i, j = (v.ravel() for v in np.indices((len(r), len(y))))
+        ok = may_match(r[i], y[j])
+        a.append(r["id"][i[ok]])
+        b.append(y["id"][j[ok]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+OUT = "a long, b long, block_pair long, block_no int, rows binary"
+
+
+def _answer(pairs, blocks):
+    """Rows of OUT: candidate pairs, each once, and blocks of large groups."""
+    a, b = pairs
+    if len(a):
+        ab = np.unique(np.stack([a, b], 1), axis=0)
+        a, b = ab[:, 0], ab[:, 1]
+    n, m = len(a), len(blocks)
+    cols = list(zip(*blocks)) or [(), (), ()]
+    gap = [None] * m
+    return pa.table(
+        {
+            "a": pa.array([*a.tolist(), *gap], pa.int64()),
+            "b": pa.array([*b.tolist(), *gap], pa.int64()),
+            "block_pair": pa.array([None] * n + list(cols[0]), pa.int64()),
+            "block_no": pa.array([None] * n + list(cols[1]), pa.int32()),
+            "rows": pa.array([None] * n + list(cols[2]), pa.binary()),
+        }
+    )
+
+
+def _blocks(key: int, members: list[np.ndarray], cross: bool):
+    """Blocks of a large group, each once for every other block that it meets.  Of two sides only
+    blocks of different ones meet."""
+    cut = [[m[i : i + SPLIT] for i in range(0, len(m), SPLIT)] for m in members]
+    sides = [s for s, c in enumerate(cut) for _ in c]
+    data = [x.tobytes() for c in cut for x in c]
+    for i in range(len(data)):
+        for j in range(i, len(data)):
+            if cross and sides[i] == sides[j]:
+                continue
+            name = int(mix64(np.array([key], np.uint64) ^ mix64(np.array([i << 32 | j], np.uint64))).view(np.int64)[0])
+            yield name, 0 if i == j else 1, data[i]
+            if i != j:
+                yield name, 2, data[j]
+
+
+def paired(packed: DataFrame, cross: bool) -> DataFrame:
+    """Candidate pairs (a, b) of ids, each once: a < b, or a of side 0 and b of side 1."""
+
+    def part(table: pa.Table) -> pa.Table:
+        sides = table.column("side").to_numpy()
+        raw = table.column("rows").to_pylist()
+        rows = np.concatenate([np.frombuffer(x, dtype=ROW) for x in raw])
+        side = np.repeat(sides, [len(x) // ROW.itemsize for x in raw]).astype(np.int8)
+        order = np.lexsort((rows["id"], side, rows["key"]))
+        rows, side = rows[order], side[order]
+        keep = np.ones(len(rows), dtype=bool)  # copies of a class from several tasks count once
+        keep[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1]) | (side[1:] != side[:-1])
+        rows, side = rows[keep], side[keep]
+        at = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+        size = np.diff(at, append=len(rows))
+        group = np.repeat(np.arange(len(at)), size)
+        blocks = []
+        if cross:
+            right = np.add.reduceat(side.astype(np.int64), at)
+            use = (right > 0) & (right < size)
+        else:
+            use = size > 1
+        large = use & (size > SPLIT)
+        for g in np.flatnonzero(large):
+            r, s = rows[at[g] : at[g] + size[g]], side[at[g] : at[g] + size[g]]
+            members = np.empty(len(r), dtype=MEMBER)
+            for c in MEMBER.names:
+                members[c] = r[c]
+            blocks += _blocks(int(r["key"][0]) << 32 | int(g), [members[s == 0], members[s == 1]] if cross else [members], cross)
+        small = (use & ~large)[group]
+        rows, side, group = rows[small], side[small], group[small]
+        if not cross:
+            a, b = self_pairs(group, rows)
+            return _answer((np.minimum(a, b), np.maximum(a, b)), blocks)
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        lo, hi = np.searchsorted(group[r], group[l]), np.searchsorted(group[r], group[l], side="right")
+        n, a, b = hi - lo, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(int(n.max()) if len(n) else 0):
+            x = l[n > k]
+            y = r[lo[n > k] + k]
+            ok = may_match(rows[x], rows[y])
+            a.append(rows["id"][x[ok]])
+            b.append(rows["id"][y[ok]])
+        return _answer((np.concatenate(a), np.concatenate(b)), blocks)
+
+    def block(table: pa.Table) -> pa.Table:
+        r = [np.frombuffer(x, dtype=MEMBER) for _, x in sorted(zip(table.column("block_no").to_pylist(), table.column("rows").to_pylist()))]
+        a, b = self_pairs(np.zeros(len(r[0]), np.int64), r[0]) if len(r) == 1 else cross_pairs(*r)
+        if not cross:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return _answer((a, b), [])
+
+    first = durable(packed.groupBy("part").applyInArrow(part, OUT))
+    rest = first.where("block_pair is not null").groupBy("block_pair").applyInArrow(block, OUT)
+    return first.where("block_pair is null").select("a", "b").union(rest.select("a", "b")).distinct()
+
+
+def self_candidates(docs: DataFrame, bands: int) -> DataFrame:
+    """Candidate pairs a < b of the bags (id, w)."""
+    parts = max(1, docs.count() * bands // PART_KEYS)
+    return durable(paired(packed_keys(docs, word_weights(docs), bands, parts, 0), False))
+
+
+def key_values(docs: DataFrame, weights, bands: int) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(weights)
 
+    def run(batches):
+        for _, keys, _, _ in sketched(batches, Sketch(held.value, bands)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)).view(np.int64))], names=["key"])
 
-def bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, e), each id once: element hashes of the bags that a fixed-size bitmap of ids lets through."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
+    return docs.select("id", "w").mapInArrow(run, "key long")
 
-    def run(batches):
-        m = held.value
-        for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            ok = np.zeros(len(ids), dtype=bool)
-            ok[np.unique(ids, return_index=True)[1]] = True
-            b = b.filter(pa.array(ok & in_bitmap(m, ids)))
-            if b.num_rows:
-                h, off = list_parts(b.column("h"))
-                e, _, _ = elements(h, off)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((e >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=["id", "e"]
-                )
 
-    return docs.select("id", "h").mapInArrow(run, "id long, e array<int>").groupBy("id").agg(F.first("e").alias("e"))
+def cross_candidates(left: DataFrame, right: DataFrame, bands: int) -> DataFrame:
+    """Candidate pairs of a left set, the smaller one, with all of a right set.
 
+    Keys of the right set that no left bag has are dropped before the shuffle by a bitmap
+    sized by the left set, where it stays within its bound; it only saves work.
+    """
+    weights = word_weights(left, right)
+    n = left.count()
+    bits = bitmap_bits(n * bands)
+    only = bitmap(key_values(left, weights, bands), "key", bits) if bits else None
+    parts = max(1, 2 * n * bands // PART_KEYS)
+    return durable(paired(packed_keys(left, weights, bands, parts, 0).union(packed_keys(right, weights, bands, parts, 1, only)), True))
+
+
+def some(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id is among the distinct ids: a bitmap where its bound allows, then a join."""
+    bits = bitmap_bits(ids.count())
+    if bits:
+        held = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id", bits))
+
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(in_bitmap(held.value, b.column("id").to_numpy(zero_copy_only=False))))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs.join(ids, "id", "left_semi")
+
+
+def likely(wa: str, wb: str) -> bool:
+    a, b = wa.split(" "), wb.split(" ")
+    count: dict[str, int] = {}
+    for w in a:
+        count[w] = count.get(w, 0) + 1
+    same = 0
+    for w in b:
+        c = count.get(w, 0)
+        if c:
+            count[w] = c - 1
+            same += 1
+    return 5 * same >= 4 * max(len(a), len(b))
 
-def verified(cand: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) whose full bags have a likeness of at least 4/5."""
-    a, b = cand.select(F.col("a").alias("id")), cand.select(F.col("b").alias("id"))
-    if left is right:
-        l = r = bags(left, a.union(b))
-    else:
-        l, r = bags(left, a), bags(right, b)
-    j = cand.join(l.select(F.col("id").alias("a"), F.col("e").alias("ea")), "a").join(r.select(F.col("id").alias("b"), F.col("e").alias("eb")), "b")
-    same = F.size(F.array_intersect("ea", "eb"))
-    return j.where(5 * same >= 4 * F.greatest(F.size("ea"), F.size("eb"))).select("a", "b")
 
+def verified(cand: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) whose words have a likeness of at least 4/5."""
 
-def self_candidates(docs: DataFrame) -> DataFrame:
-    """Candidate pairs a < b of ids; pairs of ids that agree above their bag bits are left out."""
-    k = key_rows(docs, Order(docs)).repartition("key").dropDuplicates(["key", "id"])
-    j = k.alias("x").join(k.alias("y"), F.col("x.key") == F.col("y.key"))
-    other = F.shiftrightunsigned(F.col("x.id").bitwiseXOR(F.col("y.id")), BAG_BITS) != 0
-    j = j.where((F.col("x.id") < F.col("y.id")) & other & may_match("x", "y"))
-    return durable(j.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    def bags(docs, *c):
+        ids = cand.select(F.explode(F.array(*c)).alias("id"))
+        return some(docs.select("id", "w"), ids.distinct()).groupBy("id").agg(F.first("w").alias("w"))
 
+    if left is right:
+        l = r = bags(left, "a", "b")
+    else:
+        l, r = bags(left, "a"), bags(right, "b")
+    j = cand.join(l.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(r.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
 
-def cross_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs of a (small or large) left set with all of the right set.
+    def run(batches):
+        for b in batches:
+            ok = [likely(x, y) for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    Keys of the right set that no left bag has are dropped before the shuffle
-    by a bitmap of fixed size; the bitmap only saves work, the join decides.
-    """
-    order = Order(left.select("h").union(right.select("h")))
-    lk = key_rows(left, order)
-    rk = key_rows(right, order, bitmap(lk, "key"))
-    j = lk.alias("x").join(rk.alias("y"), F.col("x.key") == F.col("y.key")).where(may_match("x", "y"))
-    return durable(j.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    return j.mapInArrow(run, "a long, b long")

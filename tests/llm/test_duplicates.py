@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from lexiloom.llm import formatting, neardup, overlap, setjoin
 
 
@@ -46,7 +48,7 @@ def test_hot_keys_take_the_salted_way(pairs):
 def test_empty_tables(pairs, spark):
     d = pairs([])
     assert formatting.found(d).count() == 0
-    assert neardup.near_pairs(d).count() == 0
+    assert neardup.near_pairs(d).count() == 0 and neardup.groups(d).count() == 0
     e = spark.createDataFrame([], "item_id long, kk string, ru string")
     assert overlap.found(e, d).count() == 0
 
@@ -62,7 +64,13 @@ def test_near_pairs_agree_with_brute_force(pairs):
     big = [i for i in strip if len(strip[i].split()) >= 24]
     want = {(i, j) for i in big for j in big if i < j and likeness(strip[i], strip[j]) >= 0.8 and not same(i, j)}
     got = neardup.near_pairs(pairs(rows)).collect()
-    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == want and want
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} <= want and len(got) >= 0.97 * len(want) and want
+    # classes with their numbers of linked texts instead of all pairs
+    cls = {r.pair_id: (r.class_id, r.n_links) for r in neardup.groups(pairs(rows)).collect()}
+    assert set(cls) == {i for p in map(tuple, got) for i in p}
+    for i, (c, n) in cls.items():
+        assert c <= i and cls[c] == (c, n)
+        assert n == len({cls[j if k == i else k][0] for j, k in map(tuple, got) if i in (j, k)})
 
 
 def test_cross_split_agrees_with_brute_force(pairs, spark):
@@ -76,44 +84,56 @@ def test_cross_split_agrees_with_brute_force(pairs, spark):
     assert got == want and want
 
 
-def test_dense_bags_have_bands():
-    """Bags that share no rare word still meet."""
-    import numpy as np
-
-    h = np.arange(40, dtype=np.int32)
-    e, w, row = setjoin.elements(np.concatenate([h, h[:36]]), np.array([0, 40, 76]))
-    assert len(np.intersect1d(e[:40], e[40:])) == 36
-    e, _, _ = setjoin.elements(np.array([7, 7, 7], dtype=np.int32), np.array([0, 3]))
-    assert len(set(e.tolist())) == 3
+def key_rows(spark, bags, weights, bands):
+    """Keys of each bag of numbers."""
+    d = spark.createDataFrame([(i, " ".join(map(str, b))) for i, b in enumerate(bags)], "id long, w string")
+    keys = {}
+    for r in setjoin.packed_keys(d, weights, bands, 1, 0).collect():
+        for k, i, *_ in np.frombuffer(r.rows, dtype=setjoin.ROW):
+            keys.setdefault(i, []).append(k)
+    return keys
 
 
-def test_rare_edits_on_one_side_only(spark):
-    """A bag with six rare words and its partner with six frequent ones in their place meet."""
-    from types import SimpleNamespace
+NO_WEIGHTS = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
 
-    import numpy as np
 
+def test_bands_reach_the_target_recall(spark):
+    """At the similarity for which bands were chosen, the target share of pairs meets."""
+    similarity, recall = 2 / 3, 0.95
+    bands = setjoin.bands_for(recall, similarity)
+    assert (1 - similarity**setjoin.ROWS) ** bands <= 1 - recall < (1 - similarity**setjoin.ROWS) ** (bands - 1)
     r = np.random.default_rng(7)
-    rows = []
-    for i in range(300):
-        w = r.choice(2000, 30, replace=False).astype(int).tolist()
-        rows += [(2 * i, w[:24] + [10_000 + 6 * i + k for k in range(6)]), (2 * i + 1, w)]
-    d = spark.createDataFrame(rows, "id long, h array<int>")
-    order = SimpleNamespace(frequent=np.arange(2000, dtype=np.int32), twice=np.zeros(1 << 12, dtype=np.uint8))
-    keys = {}
-    for x in setjoin.key_rows(d, order).collect():
-        keys.setdefault(x.id, set()).add(x.key)
-    assert not [i for i in range(300) if not keys[2 * i] & keys[2 * i + 1]]
-
-
-def test_bands_needed_hold_for_every_partner():
-    import numpy as np
-
-    for n in range(10, 80):
-        for f in range((4 * n + 4) // 5, n + 1):
-            lows = []
-            for m in range((4 * n + 4) // 5, 5 * n // 4 + 1):
-                same = (4 * max(n, m) + 4) // 5
-                lows += [same / (f + g - same) for g in range(same, m + 1) if same <= f]
-            got = setjoin.bands_needed(np.array([n]), np.array([f]))[0]
-            assert (1 - min(lows) ** setjoin.ROWS) ** got <= setjoin.MISS * 1.0001
+    bags = []
+    for _ in range(500):
+        w = r.choice(10**6, 48, replace=False).tolist()
+        bags += [w[:40], w[8:]]  # 32 of 48 words are shared
+    keys = key_rows(spark, bags, NO_WEIGHTS, bands)
+    met = [bool(set(keys[2 * i]) & set(keys[2 * i + 1])) for i in range(500)]
+    assert np.mean(met) >= recall
+
+
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+    """Bags over the bound of a group still meet all others, in pairs of blocks."""
+    monkeypatch.setattr(setjoin, "SPLIT", 7)
+    bags = [[*range(40), 100 + i] for i in range(45)]
+    d = spark.createDataFrame([(i, " ".join(map(str, b))) for i, b in enumerate(bags)], "id long, w string")
+    packed = setjoin.packed_keys(d, NO_WEIGHTS, 20, 2, 0)
+    got = {tuple(r) for r in setjoin.paired(packed, False).collect()}
+    assert got == {(i, j) for i in range(45) for j in range(i + 1, 45)}
+    other = setjoin.packed_keys(d.selectExpr("id + 1000 AS id", "w"), NO_WEIGHTS, 20, 2, 1)
+    got = {tuple(r) for r in setjoin.paired(packed.union(other), True).collect()}
+    assert got == {(i, 1000 + j) for i in range(45) for j in range(45)}
+
+
+def test_words_weigh_by_rarity(spark):
+    d = spark.createDataFrame([(i, f"common {'half' if i % 2 else 'other'} only{i}") for i in range(100)] + [(7, "copy of a row")], "id long, w string")
+    h, w = setjoin.word_weights(d)
+    memory = setjoin.Words()
+    of = dict(zip(h.tolist(), w.tolist()))
+    common, half, only = (of.get(x) for x in memory(["common", "half", "only3"]))
+    assert common < half and only is None and abs(half - np.log(2) ** 2) < 0.02
+
+
+def test_likeness_is_exact():
+    assert setjoin.likely("a b c d e", "e d c b x") and not setjoin.likely("a b c d e", "a b c x y")
+    assert setjoin.likely("a a a a b", "a a a a c") and not setjoin.likely("a a a a b", "a b b b b")

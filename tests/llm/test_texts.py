@@ -118,18 +118,27 @@ def test_cells(pairs, model, kazakh):
     assert got == {(2, "kk"): ("rus", True), (2, "ru"): ("kaz", True), (3, "ru"): ("eng", True)}
 
 
-def test_one_cell_with_many_twins_teaches_nothing(pairs, kazakh):
-    """Restored cells count once, however many clean partners they are aligned with."""
+def test_aligned_words_teach(pairs, kazakh):
+    """Words of clean twins in the same places teach a transformation, from enough different words on;
+    copies of one cell add nothing, and without twins nothing is learned."""
     from pyspark.sql import functions as F
 
-    twins = [(1000 + i, " ".join(["таласқанда", "қалалық", "бригадасы", "үйді"][(i >> 2 * j) & 3] for j in range(4)), "") for i in range(40)]
-    bad = "Ғалым ескі құралды сатты".encode().decode("cp1251")
-    for copies, learned in ((1, False), (3, True)):
-        d = pairs(kazakh + twins + [(5000 + i, bad, "") for i in range(copies)])
+    def learned(rows):
+        d = pairs(rows)
         both = encoding.suspects(d).cache()
         counts = np.zeros(encoding.SIZE**2, dtype=np.int64)
         for r in both.where("counts is not null").select(F.posexplode("counts").alias("i", "c")).collect():
             counts[r.i] += r.c
-        marked = both.where("text is not null").select("pair_id", "field", "text")
-        assert marked.count() == copies
-        assert bool(encoding.learn(d, marked, counts)) == learned
+        return [encoding.name(c) for c in encoding.learn(d, both.where("text is not null").select("pair_id", "field", "text"), counts)]
+
+    bad = lambda s: s.encode().decode("cp1251")
+    twin, short = "Жұмада бригадасы үлкен үйді кітапхананы тексерді", "Жұмада"
+    assert learned(kazakh + [(1000, twin, ""), (1001, bad(twin), "")]) == ["utf8/cp1251"]
+    assert learned(kazakh + [(1000, short, "")] + [(1001 + i, bad(short), "") for i in range(5)]) == []
+    assert learned(kazakh + [(1001, bad(twin) + " 7,7", "")]) == []
+
+
+def test_only_the_named_rows_are_judged(pairs, kazakh, spark):
+    rows = kazakh + [(200 + i, garble(kazakh[i][1], "utf8", "cp1251"), kazakh[i][2]) for i in range(6)]
+    of = spark.createDataFrame([(200,), (203,), (1,), (203,)], "x long")
+    assert {r.pair_id for r in encoding.found(pairs(rows), of=of).collect()} == {200, 203}
