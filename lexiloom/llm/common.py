@@ -114,10 +114,9 @@ def bitmap(df: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits for a bitmap of n keys, at least 8 a key; 0 where that is over the bound and a
-    bitmap would no longer tell keys apart."""
-    bits = 1 << max(18, (8 * n - 1).bit_length())
-    return bits if bits <= MOST_BITS else 0
+    """Bits for a bitmap of n keys, 32 a key or fewer at the bound; 0 where not even 8 a key
+    fit and a bitmap would no longer tell keys apart."""
+    return min(1 << max(18, (32 * n - 1).bit_length()), MOST_BITS) if 8 * n <= MOST_BITS else 0
 
 
 def in_bitmap(m: np.ndarray, keys: np.ndarray) -> np.ndarray:

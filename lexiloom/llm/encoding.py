@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, bitmap_bits, durable, in_bitmap, mix64
-from .setjoin import Words, some
+from .setjoin import Words, some, word_hashes
 
 LOWER = "абвгдеёжзийклмнопрстуфхцчшщъыьэюяәғқңөұүһі"
 SIZE = len(LOWER) + 3  # 0: no letter, last but one: Latin letter, last: any other character
@@ -288,7 +288,7 @@ def learn(pairs: DataFrame, marked: DataFrame, counts: np.ndarray, fields=("kk",
                     for n, x, _ in judge.options(w):
                         if len(x) >= 4:
                             x = x.lower()
-                            rows.append((k, i, memory([x])[0], fields.index(f), number[n], letters(x)))
+                            rows.append((k, i, memory[x], fields.index(f), number[n], letters(x)))
             cols = list(zip(*rows)) or [()] * 6
             key = np.zeros(len(rows), np.int64)
             of = np.array(cols[3])
@@ -324,7 +324,7 @@ def learn(pairs: DataFrame, marked: DataFrame, counts: np.ndarray, fields=("kk",
                 n = [len(ws) for ws, _ in use]
                 if n:
                     place = np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)
-                    h = np.array(memory([w.lower() for ws, _ in use for w in ws]), dtype=np.uint64)
+                    h, _ = word_hashes([[w.lower() for w in ws] for ws, _ in use], memory)
                     out.append(placed(np.repeat(np.array([y for _, y in use], np.int64), n), place, h, f))
             key = np.unique(np.concatenate(out or [np.zeros(0, np.int64)]))
             if by_key is not None:

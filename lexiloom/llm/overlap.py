@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import durable, word_list
+from .common import GOLDEN, durable, word_list
 
 MIN_WORDS = 10
-BANDS = setjoin.bands_for(0.98, 0.5)
+BANDS = setjoin.bands_for(0.999, 0.5)
 
 
 def cells(df: DataFrame, id_col: str, fields=("kk", "ru"), min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, w): the words of each cell of at least ``min_words``; ids are 2 * row id + field number.
+    """(id, e): the elements of each cell of at least ``min_words``; ids are 2 * row id + field number.
 
-    Words of different fields differ by a prefix, so only like fields meet.
+    Words of different fields get different hashes, so only like fields meet.
     """
 
     def run(batches):
+        memory = setjoin.Words()
         for b in batches:
             ids, words = [], []
             row = b.column(0).to_pylist()
@@ -28,16 +30,19 @@ def cells(df: DataFrame, id_col: str, fields=("kk", "ru"), min_words: int = MIN_
                     w = word_list(t)
                     if i is not None and len(w) >= min_words:
                         ids.append(2 * i + k)
-                        words.append(" ".join(f"{k}{x}" for x in w))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["id", "w"])
+                        words.append(w)
+            ids = np.array(ids, dtype=np.int64)
+            h, off = setjoin.word_hashes(words, memory)
+            e = setjoin.elements(h ^ np.repeat((ids & 1).astype(np.uint64) * GOLDEN, np.diff(off)), off)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), setjoin.lists_of(e, off)], names=["id", "e"])
 
-    return df.select(F.col(id_col).cast("long"), *fields).mapInArrow(run, "id long, w string")
+    return df.select(F.col(id_col).cast("long"), *fields).mapInArrow(run, "id long, e array<long>")
 
 
 def cross_split_pairs(evals: DataFrame, train: DataFrame, item="item_id", row="pair_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(item, row, field): cells of the same field with a likeness of 0.8 or more.
 
-    Minwise bands of both sides meet, only cross-split candidates arise, and the words
+    Minwise bands of both sides meet, only cross-split candidates arise, and the bags
     themselves decide.  Null, empty and short cells match nothing; every copy of a row is
     reported; empty tables give no rows.
     """

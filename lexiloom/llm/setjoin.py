@@ -1,11 +1,12 @@
 """Likeness join of word bags: weighted MinHash, banded, with exact verification.
 
 Likeness of two bags is the number of words they share, counting repeats, divided by the
-size of the larger bag; pairs of at least 4/5 are wanted.  The n-grams are single words
-(an element is a word and the number of its repeat), because likeness ignores order.
+size of the larger bag; pairs of at least 4/5 are wanted.  The n-grams are single words,
+because likeness ignores order; a word's second, third ... place in a bag makes further
+elements, so a bag is a set of element hashes of 64 bits (``elements``).
 
-1. ``word_weights``: document frequencies of all words over all bags.  A word of share s of
-   the bags weighs ln(1/s)^2; the words over a share of 1/RARE are a bounded list (at most
+1. ``word_weights``: document frequencies of all elements over all bags.  One of share s of
+   the bags weighs ln(1/s)^2; those over a share of 1/RARE are a bounded list (at most
    RARE times the mean bag size) and are broadcast, all others weigh as RARE.
 2. ``packed_keys``: each permutation gives an element e the clock -ln(u(e)) / weight(e), so
    two bags have the same minimum with the probability of their weighted Jaccard
@@ -19,12 +20,13 @@ size of the larger bag; pairs of at least 4/5 are wanted.  The n-grams are singl
    drops pairs in the group without losing any.
 4. A group of over SPLIT bags is cut into blocks, and pairs of blocks become tasks of their
    own, so no task takes the square of a group.
-5. ``verified``: the words themselves are counted; nothing but exact likeness decides.
+5. ``verified``: the elements themselves are compared; nothing but exact likeness decides.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bitmap, bitmap_bits, durable, in_bitmap, mix64
+from .common import GOLDEN, bitmap, bitmap_bits, durable, in_bitmap, list_parts, mix64
 
 ROWS = 4
 RARE = 10_000
@@ -50,34 +52,24 @@ def bands_for(recall: float, similarity: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log1p(-(similarity**ROWS)))
 
 
-class Words:
+class Words(dict):
     """64-bit hashes of words, remembered by process."""
 
-    def __init__(self, most: int = 1_000_000):
-        self.most, self.at = most, {}
-
-    def __call__(self, words: list[str]) -> list[int]:
-        at = self.at
-        out = []
-        for w in words:
-            h = at.get(w)
-            if h is None:
-                if len(at) >= self.most:
-                    at.clear()
-                h = at[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out.append(h)
-        return out
+    def __missing__(self, w: str) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        h = self[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
 
 
-def flat_hashes(texts: list[str], memory: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts of words apart by spaces, and offsets."""
-    lists = [memory(t.split(" ")) for t in texts]
+def word_hashes(lists: list[list[str]], memory: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lists, and offsets."""
     off = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return np.array([h for x in lists for h in x], dtype=np.uint64), off
+    return np.fromiter(map(memory.__getitem__, itertools.chain.from_iterable(lists)), dtype=np.uint64, count=off[-1]), off
 
 
-def elements(h: np.ndarray, off: np.ndarray):
-    """Distinct element hashes of each bag: (element, its word's hash, row of each, first of its word)."""
+def elements(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Element hashes of bags of word hashes: each different within its bag."""
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     order = np.lexsort((h, row))
     hs = h[order]
@@ -85,12 +77,21 @@ def elements(h: np.ndarray, off: np.ndarray):
     new[1:] = (hs[1:] != hs[:-1]) | (row[1:] != row[:-1])  # row is sorted already
     at = np.arange(len(hs))
     repeat = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return mix64(hs + repeat * GOLDEN), hs, row, new
+    return mix64(hs + repeat * GOLDEN)
+
+
+def lists_of(e: np.ndarray, off: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(e.view(np.int64)))
 
 
-def bag_hash(e: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Hash of each whole bag, independent of word order; 0 for an empty bag."""
-    c = np.concatenate([[np.uint64(0)], np.cumsum(mix64(e ^ GOLDEN), dtype=np.uint64)])
+def hashes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    h, off = list_parts(column)
+    return h.view(np.uint64), off
+
+
+def bag_hash(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Hash of each whole bag, independent of order; 0 for an empty bag."""
+    c = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ GOLDEN), dtype=np.uint64)])
     return c[off[1:]] - c[off[:-1]]
 
 
@@ -105,10 +106,10 @@ def fresh(ids: np.ndarray, seen: set) -> np.ndarray:
 
 
 def word_weights(*docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and weights of the words of a share over 1/RARE of the bags (id, w)."""
+    """Hashes, in order, and weights of the elements of a share over 1/RARE of the bags (id, e)."""
 
     def run(batches):
-        memory, seen, n, held = Words(), set(), 0, []
+        seen, n, held = set(), 0, []
 
         def merged():
             w, c = (np.concatenate(x) for x in zip(*held))
@@ -118,11 +119,10 @@ def word_weights(*docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         size = 0
         for b in batches:
             new = fresh(b.column("id").to_numpy(zero_copy_only=False), seen)
-            h, off = flat_hashes(b.column("w").filter(pa.array(new)).to_pylist(), memory)
+            h, _ = hashes_of(b.column("e").filter(pa.array(new)))
             n += int(new.sum())
             if len(h):
-                _, hs, _, first = elements(h, off)
-                u, c = np.unique(hs[first], return_counts=True)
+                u, c = np.unique(h, return_counts=True)
                 held.append((u, c))
                 size += len(u)
             if size > FLUSH:
@@ -136,9 +136,9 @@ def word_weights(*docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["h", "n"])
 
-    one = docs[0].select("id", "w")
+    one = docs[0].select("id", "e")
     for d in docs[1:]:
-        one = one.union(d.select("id", "w"))
+        one = one.union(d.select("id", "e"))
     counts = durable(one.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2 or h is null"))
     n = max([r.n for r in counts.where("h is null").collect()], default=0)
     got = counts.where(F.col("h").isNotNull() & (F.col("n") * RARE > n)).toPandas()
@@ -168,15 +168,14 @@ class Sketch:
 
     def __call__(self, h: np.ndarray, off: np.ndarray):
         """(keys of each band, bits, more) of non-empty bags."""
-        e, hs, row, _ = elements(h, off)
         starts, n = off[:-1], np.diff(off)
-        place = e % np.uint64(PARITY)
+        place = h % np.uint64(PARITY)
         one = np.uint64(1) << (place & np.uint64(63))
         bits = np.bitwise_xor.reduceat(np.where(place < 64, one, np.uint64(0)), starts)
         more = np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), one), starts)
         more |= np.minimum(n, 0xFFFF).astype(np.uint64) << np.uint64(48)
-        u, first, inv = np.unique(e, return_index=True, return_inverse=True)
-        rate = -1 / self.weight_of(hs[first])
+        u, inv = np.unique(h, return_inverse=True)
+        rate = -1 / self.weight_of(u)
         keys = []
         for k in range(self.bands):
             z = np.full(len(n), np.uint64(k + 1)) * GOLDEN
@@ -191,17 +190,17 @@ class Sketch:
 
 
 def sketched(batches, sketch: Sketch):
-    """(ids, keys of each band, bits, more) of batches of (id, w), each id of a task once."""
-    memory, seen = Words(), set()
+    """(ids, keys of each band, bits, more) of batches of (id, e), each id of a task once."""
+    seen = set()
     for b in batches:
         ids = b.column("id").to_numpy(zero_copy_only=False)
         new = fresh(ids, seen)
         if new.any():
-            yield ids[new], *sketch(*flat_hashes(b.column("w").filter(pa.array(new)).to_pylist(), memory))
+            yield ids[new], *sketch(*hashes_of(b.column("e").filter(pa.array(new))))
 
 
 def packed_keys(docs: DataFrame, weights, bands: int, parts: int, side: int, only: np.ndarray | None = None) -> DataFrame:
-    """(part, side, rows): key rows of the bags (id, w) for each part of the key space.
+    """(part, side, rows): key rows of the bags (id, e) for each part of the key space.
 
     only: a bitmap of keys; others are left out before the shuffle.
     """
@@ -235,7 +234,7 @@ def packed_keys(docs: DataFrame, weights, bands: int, parts: int, side: int, onl
         if n:
             yield out()
 
-    return docs.select("id", "w").mapInArrow(run, "part long, side int, rows binary")
+    return docs.select("id", "e").mapInArrow(run, "part long, side int, rows binary")
 
 
 def may_match(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -371,7 +370,7 @@ def paired(packed: DataFrame, cross: bool) -> DataFrame:
 
 
 def self_candidates(docs: DataFrame, bands: int) -> DataFrame:
-    """Candidate pairs a < b of the bags (id, w)."""
+    """Candidate pairs a < b of the bags (id, e)."""
     parts = max(1, docs.count() * bands // PART_KEYS)
     return durable(paired(packed_keys(docs, word_weights(docs), bands, parts, 0), False))
 
@@ -383,7 +382,7 @@ def key_values(docs: DataFrame, weights, bands: int) -> DataFrame:
         for _, keys, _, _ in sketched(batches, Sketch(held.value, bands)):
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)).view(np.int64))], names=["key"])
 
-    return docs.select("id", "w").mapInArrow(run, "key long")
+    return docs.select("id", "e").mapInArrow(run, "key long")
 
 
 def cross_candidates(left: DataFrame, right: DataFrame, bands: int) -> DataFrame:
@@ -414,36 +413,16 @@ def some(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "id", "left_semi")
 
 
-def likely(wa: str, wb: str) -> bool:
-    a, b = wa.split(" "), wb.split(" ")
-    count: dict[str, int] = {}
-    for w in a:
-        count[w] = count.get(w, 0) + 1
-    same = 0
-    for w in b:
-        c = count.get(w, 0)
-        if c:
-            count[w] = c - 1
-            same += 1
-    return 5 * same >= 4 * max(len(a), len(b))
-
-
 def verified(cand: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) whose words have a likeness of at least 4/5."""
+    """Candidate pairs (a, b) whose bags have a likeness of at least 4/5."""
 
     def bags(docs, *c):
         ids = cand.select(F.explode(F.array(*c)).alias("id"))
-        return some(docs.select("id", "w"), ids.distinct()).groupBy("id").agg(F.first("w").alias("w"))
+        return some(docs.select("id", "e"), ids.distinct()).groupBy("id").agg(F.first("e").alias("e"))
 
     if left is right:
         l = r = bags(left, "a", "b")
     else:
         l, r = bags(left, "a"), bags(right, "b")
-    j = cand.join(l.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(r.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-
-    def run(batches):
-        for b in batches:
-            ok = [likely(x, y) for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return j.mapInArrow(run, "a long, b long")
+    j = cand.join(l.select(F.col("id").alias("a"), F.col("e").alias("ea")), "a").join(r.select(F.col("id").alias("b"), F.col("e").alias("eb")), "b")
+    return j.where(5 * F.size(F.array_intersect("ea", "eb")) >= 4 * F.greatest(F.size("ea"), F.size("eb"))).select("a", "b")
