@@ -298,16 +298,12 @@ def learn(pairs: DataFrame, marked: DataFrame, counts: np.ndarray, fields=("kk",
                     key[m] = placed(*(np.array(c, t)[m] for c, t in zip(cols[:3], (np.int64, np.int64, np.uint64))), f)
             new = [i for i, x in enumerate(zip(key.tolist(), cols[4])) if x not in seen and not seen.add(x)]
             word = np.array(cols[2], np.uint64).view(np.int64)
-            out = [key, word, np.array(cols[4], np.int32), np.array(cols[5], np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in out], names=["key", "word", "chain", "letters"])
+            out = [key, word, np.array(cols[4], np.int32), np.array(cols[5], np.int64), np.array(cols[0], np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in out], names=["key", "word", "chain", "letters", "k"])
 
-    def keyed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique([skeleton(x) for x in b.column(0).to_pylist()]).astype(np.int64))], names=["k"])
-
-    opts = durable(marked.select("field", "text").mapInArrow(options, "key long, word long, chain int, letters long"))
-    sk = marked.select("text").mapInArrow(keyed, "k long").distinct()
-    bits, key_bits = bitmap_bits(marked.count()), bitmap_bits(opts.count())
+    opts = durable(marked.select("field", "text").mapInArrow(options, "key long, word long, chain int, letters long, k long"))
+    sk = opts.select("k").distinct()
+    bits, key_bits = bitmap_bits(sk.count()), bitmap_bits(opts.count())
     maps = spark.sparkContext.broadcast((bitmap(sk, "k", bits) if bits else None, bitmap(opts, "key", key_bits) if key_bits else None))
 
     def clean(batches):

@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import letters_digits
+from .common import durable, letters_digits
 
-HOT_SHARE = 64  # a key with over 1/64 of all rows is hot, so there are fewer than 64
+HOT_ROWS = 16  # a key of more rows is hot ...
+MOST_HOT = 1 << 16  # ... if it also has over 1/65536 of all rows, so there are fewer hot keys than that
 SALTS = 64
 
 
-def canonical_hashes(fields=("kk", "ru"), seeds: str = "") -> tuple[Column, Column]:
-    """Hashes of the letters and digits of both fields, the lower one first: the
-    order of the fields makes no difference."""
-    a, b = (F.xxhash64(F.lit(seeds), letters_digits(c)) if seeds else F.xxhash64(letters_digits(c)) for c in fields)
-    return F.least(a, b), F.greatest(a, b)
-
-
 def canonical_key(fields=("kk", "ru")) -> Column:
     """256-bit key of what remains of a record without case, spaces, punctuation and field order."""
     return F.sha2(F.concat_ws("\x00", F.array_sort(F.array(*[letters_digits(c) for c in fields]))), 256)
@@ -28,11 +21,11 @@ def keyed(rows: DataFrame, id_col: str = "pair_id", fields=("kk", "ru")) -> Data
     return rows.select(F.col(id_col).cast("long").alias("id"), F.unhex(canonical_key(fields)).alias("key"))
 
 
-def hot_keys(k: DataFrame, share: int = HOT_SHARE) -> list[bytes]:
-    """Keys of over 1/share of the rows, counted exactly; there are under ``share`` of them.
-    Counts are combined before the shuffle and only hot ones reach the driver."""
-    counts = k.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return [bytes(r.key) for r in counts.where(F.col("n") * share > k.count()).select("key").collect()]
+def hot_keys(k: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key) of over ``hot_rows`` rows, counted exactly by partial counts that are combined
+    before the shuffle; fewer than MOST_HOT keys of 32 bytes whatever the input."""
+    least = max(hot_rows, k.count() // MOST_HOT)
+    return durable(k.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least).select("key"))
 
 
 def representatives(k: DataFrame) -> DataFrame:
@@ -42,23 +35,21 @@ def representatives(k: DataFrame) -> DataFrame:
     return part.groupBy("key").agg(F.min("m").alias("first_id"), F.sum("c").alias("copies"))
 
 
-def copies(rows: DataFrame, id_col: str = "pair_id", fields=("kk", "ru"), share: int = HOT_SHARE) -> DataFrame:
+def copies(rows: DataFrame, id_col: str = "pair_id", fields=("kk", "ru"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, first_id, copies) of every row: its class's smallest id and its size.
 
-    Rows of hot keys meet a broadcast list of under ``share`` representatives and
-    are not shuffled; all others take one shuffle by key.  A null field is an
-    empty text; rows whose fields are all empty are copies of each other; an
-    empty table gives no rows.
+    Texts are read and hashed once.  Rows of hot keys meet a broadcast table of fewer than
+    MOST_HOT representatives and are not shuffled; all others take one shuffle by key, in
+    which each class is reduced to its smallest id and its size before its rows are met.  A
+    null field is an empty text; rows whose fields are all empty are copies of each other;
+    an empty table gives no rows.
     """
-    k = keyed(rows, id_col, fields)
-    hot = hot_keys(k, share)
-    w = Window.partitionBy("key")
-    of_class = (F.col("id"), F.min("id").over(w).alias("first_id"), F.count("*").over(w).alias("copies"))
-    if not hot:
-        return k.select(*of_class)
-    is_hot = F.col("key").isin(hot)
-    reps = F.broadcast(representatives(k.where(is_hot)))
-    return k.where(is_hot).join(reps, "key").select("id", "first_id", "copies").unionByName(k.where(~is_hot).select(*of_class))
+    k = durable(keyed(rows, id_col, fields))
+    hot = F.broadcast(hot_keys(k, hot_rows))
+    reps = F.broadcast(representatives(k.join(hot, "key", "left_semi")))
+    rest = k.join(hot, "key", "left_anti").repartition("key")
+    per = rest.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    return k.join(reps, "key").select("id", "first_id", "copies").union(rest.join(per, "key").select("id", "first_id", "copies"))
 
 
 def found(rows: DataFrame) -> DataFrame:

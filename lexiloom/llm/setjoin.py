@@ -39,8 +39,8 @@ from .common import GOLDEN, bitmap, bitmap_bits, durable, in_bitmap, list_parts,
 ROWS = 4
 RARE = 10_000
 SPLIT = 4096  # bags of a group that one task pairs
-PART_KEYS = 1 << 20  # keys of a part of the key space on average
-FLUSH = 1 << 21  # keys that a task holds before it hands them on
+PART_KEYS = 1 << 19  # keys of a part of the key space on average
+FLUSH = 1 << 20  # keys that a task holds before it hands them on
 PARITY = 112  # bits of the parity map: 64 in bits, the others in more, below the bag's size
 LOW48 = (1 << 48) - 1
 ROW = np.dtype([("key", "<u4"), ("id", "<i8"), ("bits", "<u8"), ("more", "<u8")])

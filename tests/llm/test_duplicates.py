@@ -40,7 +40,7 @@ def test_formatting_copies(pairs):
 
 def test_hot_keys_take_the_salted_way(pairs):
     d = pairs([(i, "бір", "один") for i in range(300, 0, -1)] + [(1000 + i, f"а{i}", "б") for i in range(100)])
-    assert formatting.hot_keys(formatting.keyed(d))
+    assert formatting.hot_keys(formatting.keyed(d)).count() == 1
     got = formatting.found(d).collect()
     assert len(got) == 299 and {r.first_id for r in got} == {1}
 
