@@ -100,3 +100,8 @@ def random_mask(key: Column, size: Column, share: float) -> Column:
     low = F.array_min(draw)
     cut = F.greatest(F.lit(int(share * 2**32)), low + 1)
     return F.when(size > 0, F.transform(draw, lambda x: x < cut)).otherwise(F.array().cast("array<boolean>"))
+
+
+def check_vocabulary(size: int, expected: int) -> None:
+    if size != expected:
+        raise ValueError(f"the tokenizer has {size} pieces, {expected} are expected")

@@ -34,11 +34,6 @@ def tokens_13a(c: Column) -> Column:
     return F.filter(F.split(c, r"[\s]+"), lambda w: w != "")
 
 
-def grams(tokens: Column, n: int, glue: str = " ") -> Column:
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), glue))
-
-
 def _bag(g: Column) -> Column:
     """Each gram once, with the number of its repeats before it: bags become sets."""
     s = F.array_sort(g)
@@ -50,15 +45,38 @@ def matches(hyp: Column, ref: Column) -> Column:
     return F.size(F.array_intersect(_bag(hyp), _bag(ref)))
 
 
-def gram_rows(df: DataFrame, keys: list[str], hyp: Column, ref: Column, orders: int, glue: str = " ") -> DataFrame:
-    """(keys, n, matched, hyp_total, ref_total) of each row and order: grams are counted per
-    row by shuffle of their counts, as bags of long rows outgrow one expression."""
-    side = lambda toks, s: F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s"), grams(toks, n, glue).alias("g")) for n in range(1, orders + 1)]))
-    a = df.select(*keys, side(hyp, 0).alias("x"))
-    b = df.select(*keys, side(ref, 1).alias("x"))
-    g = a.unionAll(b).select(*keys, "x.n", "x.s", F.explode_outer("x.g").alias("g"))
-    c = g.groupBy(*keys, "n", "g").agg(F.count_if((F.col("s") == 0) & F.col("g").isNotNull()).alias("h"), F.count_if((F.col("s") == 1) & F.col("g").isNotNull()).alias("r"))
-    return c.groupBy(*keys, "n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("hyp_total"), F.sum("r").alias("ref_total"))
+def gram_rows(df: DataFrame, keys: list[str], hyp: Column, ref: Column, orders: int) -> DataFrame:
+    """(keys, n, matched, hyp_total, ref_total) of each row and order.
+
+    hyp, ref: arrays of tokens, or strings of which the characters are the tokens.  A row's
+    n-grams are counted and clipped where the row stands; no gram is shuffled.
+    """
+    d = df.select(*keys, hyp.alias("_h"), ref.alias("_r"))
+    schema = T.StructType([d.schema[k] for k in keys] + [T.StructField("n", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("matched", "hyp_total", "ref_total")])
+
+    def bag(x, n):
+        if isinstance(x, str):
+            return Counter([x[i : i + n] for i in range(len(x) - n + 1)])
+        return Counter(x if n == 1 else zip(*(x[i:] for i in range(n))))
+
+    def run(batches):
+        for b in batches:
+            names = b.schema.names[:-2]
+            rows, last, refs = [], None, []
+            for h, r in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()):
+                h, r = h or [], r or []
+                if r is not last and r != last:  # hypotheses of one reference mostly follow each other
+                    last, refs = r, [bag(r, n) for n in range(1, orders + 1)]
+                for n in range(1, orders + 1):
+                    x, y = bag(h, n), refs[n - 1] if r else Counter()
+                    rows.append((n, sum(min(c, y[g]) for g, c in x.items() if g in y), max(0, len(h) - n + 1), max(0, len(r) - n + 1)))
+            at = pa.array(np.repeat(np.arange(b.num_rows), orders))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [b.column(i).take(at) for i in range(len(names))] + [pa.array(cols[0], pa.int32())] + [pa.array(c, pa.int64()) for c in cols[1:]], names=[*names, "n", "matched", "hyp_total", "ref_total"]
+            )
+
+    return d.mapInArrow(run, schema)
 
 
 def bleu(stats: DataFrame, by: list[str]) -> DataFrame:
@@ -77,7 +95,8 @@ def bleu(stats: DataFrame, by: list[str]) -> DataFrame:
 
 
 def chars(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", ""), "")
+    """A text without white space: its characters are the tokens."""
+    return F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "")
 
 
 def f_score(stats: DataFrame, by: list[str], name: str, beta: float = BETA) -> DataFrame:
@@ -136,6 +155,15 @@ def ter(df: DataFrame, by: list[str], hyp: str, ref: str) -> DataFrame:
     return df.select(*by, edits(hyp, ref).alias("e"), words.alias("n")).groupBy(*by).agg((100.0 * F.sum("e") / F.greatest(F.sum("n"), F.lit(1))).alias("ter"))
 
 
+def deltas(scores: DataFrame, system: str, base: str, metrics: list[str], reverse: tuple[str, ...] = ("ter",)) -> DataFrame:
+    """(metric, delta): by how much a system's scores (system, metrics) are better than those of a
+    base; of reversed metrics, where less is better, the difference is turned round."""
+    x = scores.where(F.col("system") == system).select(F.explode(F.create_map(*[v for m in metrics for v in (F.lit(m), F.col(m))])).alias("metric", "a"))
+    y = scores.where(F.col("system") == base).select(F.explode(F.create_map(*[v for m in metrics for v in (F.lit(m), F.col(m))])).alias("metric", "b"))
+    d = F.col("a") - F.col("b")
+    return x.join(y, "metric").select("metric", F.when(F.col("metric").isin(*reverse), -d).otherwise(d).alias("delta"))
+
+
 def bootstrap_draws(rows: DataFrame, pos: str, samples: int, seed: int) -> DataFrame:
     """(sample, pos, k): how often each row stands in each resample, by hash of seed, sample
     and row: a Poisson(1) draw, so resamples need no global row numbers or second pass."""

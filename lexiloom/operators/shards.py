@@ -22,36 +22,57 @@ def remaining(inputs: DataFrame, done: DataFrame, index: str = "index") -> DataF
     return inputs.join(done.select(index).distinct(), index, "left_anti")
 
 
-def validation(records: DataFrame, expected: DataFrame, order: list[str], index: str = "index") -> DataFrame:
+def validation(records: DataFrame, expected: DataFrame, index: str = "index") -> DataFrame:
     """One row of counters over records against the expected (index, source) table.
 
-    Records out of range take no further check; mismatch and repetition are counted before
-    the status; emptiness and sameness for ok records only.
+    Records out of range take no further check.  Sources are compared without outer white
+    space; mismatch and repetition are counted before the status; emptiness and sameness of
+    ok records only.  An index counts as seen by any record in range; valid is a set with
+    exactly one good record for each expected index.
     """
-    e = expected.select(index, F.col("source").alias("_want"))
-    d = records.join(e, index, "left")
+    e = expected.select(index, fx.strip("source").alias("_want"))
+    d = records.withColumn("_src", fx.strip("source")).withColumn("_out", fx.strip("translation")).join(e, index, "left")
     there = F.col("_want").isNotNull()
     ok = there & F.coalesce(F.col("status") == "ok", F.lit(False))
-    first = F.row_number().over(Window.partitionBy(index).orderBy(F.when(ok, 0).otherwise(1), *order))
-    d = d.withColumn("_rn", F.when(ok, first))
-    src, out = fx.strip("source"), fx.strip("translation")
     flags = {
-        "records": F.lit(True),
         "out_of_range": ~there,
-        "source_mismatch": there & ~F.col("source").eqNullSafe(F.col("_want")),
-        "duplicate": ok & (F.col("_rn") > 1),
+        "source_mismatch": there & (F.col("_src") != F.col("_want")),
         "errors": there & ~ok,
         "ok": ok,
-        "empty": ok & (out == ""),
-        "same": ok & (out != "") & (out == src),
+        "empty": ok & (F.col("_out") == ""),
+        "same": ok & (F.col("_src") != "") & (F.col("_src") == F.col("_out")),
     }
-    of_records = d.select(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()])
-    have = records.where("status = 'ok'").select(index).distinct().withColumn("_have", F.lit(True))
-    of_expected = e.join(have, index, "left").select(F.lit(True).alias("expected"), F.col("_have").isNull().alias("missing"), F.when(F.col("_have").isNull(), F.col(index)).alias("first_missing"))
-    u = of_records.unionByName(of_expected, allowMissingColumns=True)
-    a = u.agg(*[F.count_if(F.col(c)).alias(c) for c in ("expected", *flags, "missing")], F.min("first_missing").alias("first_missing"))
-    bad = sum((F.col(c) for c in ("out_of_range", "source_mismatch", "duplicate", "errors", "empty", "missing")), F.lit(0))
-    return a.withColumn("valid", bad == 0)
+    per = d.groupBy(index).agg(F.count("*").alias("records"), F.max(there).alias("_there"), *(F.count_if(c).alias(k) for k, c in flags.items()))
+    per = per.withColumn("duplicate", F.when(F.col("_there"), F.col("records") - 1).otherwise(0)).withColumn("unique_indexes", F.col("_there").cast("long"))
+    names = ["records", *flags, "duplicate", "unique_indexes"]
+    unseen = e.join(per.where("_there").select(index), index, "left_anti").agg(F.count("*").alias("missing"), F.min(index).alias("first_missing"))
+    a = per.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names))
+    a = a.unionByName(e.agg(F.count("*").alias("expected")), True).unionByName(unseen, True)  # one row each
+    a = a.agg(*(F.max(c).alias(c) for c in a.columns))
+    bad = sum((F.col(c) for c in ("out_of_range", "source_mismatch", "duplicate", "errors", "empty", "same", "missing")), F.lit(0))
+    whole = (F.col("records") == F.col("expected")) & (F.col("ok") == F.col("expected")) & (F.col("unique_indexes") == F.col("expected"))
+    return a.select("expected", *names, "missing", "first_missing", ((bad == 0) & whole).alias("valid"))
+
+
+def strict_hypotheses(records: DataFrame, references: DataFrame, index: str = "index") -> DataFrame:
+    """(index, source, reference, hypothesis) of records that fit the references (index, source,
+    reference) one to one.  Raises on an index out of range, another source, a failed or empty
+    record, a repeated index or a missing one; the first case in this order is named."""
+    r = records.select(index, F.col("source").alias("_s"), "status", fx.strip("translation").alias("hypothesis"))
+    j = r.join(references, index, "full")
+    n = F.count("*").over(Window.partitionBy(index))
+    failed = F.coalesce(F.col("status") != "ok", F.lit(True)) | (F.col("hypothesis") == "")
+    there = F.col("reference").isNotNull()
+    case = (
+        F.when(~there, "outside the references")
+        .when(F.col("hypothesis").isNull(), "missing")
+        .when(~F.col("_s").eqNullSafe(F.col("source")), "another source")
+        .when(failed, "failed or empty")
+        .when(n > 1, "repeated")
+    )
+    bad = F.raise_error(F.concat(F.lit("index "), F.coalesce(F.col(index).cast("string"), F.lit("null")), F.lit(": "), F.col("_case"))).cast("string")
+    j = j.withColumn("_case", case)
+    return j.select(index, "source", "reference", F.when(F.col("_case").isNull(), F.col("hypothesis")).otherwise(bad).alias("hypothesis"))
 
 
 def length_batches(df: DataFrame, size: int, bucket: int, length, pos: str) -> DataFrame:

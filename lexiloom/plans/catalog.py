@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import corpus, evaluation, training  # noqa: F401
+    from . import corpus, evaluation, storage, training  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -172,25 +172,39 @@ def first_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_dedup_seeded(spark, sf).orderBy("mono_id", "seg").limit(1000)
 
 
-PRIORITY = "CASE WHEN split = 'dev' THEN 0 WHEN split = 'devtest' THEN 1 WHEN split LIKE 'gold%' THEN 2 ELSE 3 END"
-CANDIDATES = f"c AS (SELECT item_id, split, category, lower({plain_sql('kk')}) AS k, row_number() OVER (PARTITION BY lower({plain_sql('kk')}) ORDER BY {PRIORITY}, split, item_id) AS rn FROM eval_pairs)"
+PRIORITY = """CASE WHEN split = 'dev' THEN 0 WHEN split = 'devtest' THEN 10 WHEN split LIKE 'gold%' THEN 20 ELSE 30 END
+ + CASE WHEN split LIKE '%short' THEN 1 WHEN split LIKE '%medium' THEN 2 WHEN split LIKE '%long' THEN 3 ELSE 0 END"""
+CANDIDATES = f"""e AS (SELECT item_id, split, lower({plain_sql('kk')}) AS k, {PRIORITY} AS p FROM eval_pairs),
+ c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p, item_id) AS rn FROM e WHERE k <> '')"""
 
 
 def priority():
+    """Order of splits: dev, devtest, gold, others; of these the short, medium and long parts."""
     s = F.col("split")
-    return F.when(s == "dev", 0).when(s == "devtest", 1).when(s.startswith("gold"), 2).otherwise(3)
+    kind = F.when(s == "dev", 0).when(s == "devtest", 10).when(s.startswith("gold"), 20).otherwise(30)
+    return kind + F.when(s.endswith("short"), 1).when(s.endswith("medium"), 2).when(s.endswith("long"), 3).otherwise(0)
+
+
+def candidates(items: DataFrame) -> DataFrame:
+    """(item_id, split, p): the first item of each text in the order of splits; empty texts are out."""
+    d = items.select("item_id", "split", F.lower(fx.normalize_plain("kk")).alias("k"), priority().alias("p")).where("k <> ''")
+    return dedup.keep_first(d, ["k"], ["p", "item_id"]).select("item_id", "split", "p")
+
+
+def numbered_candidates(items: DataFrame) -> DataFrame:
+    """(item_id, code): the split and the item's number, from 0, in the whole output."""
+    d = order.running(candidates(items), ["p", "item_id"], None, "n")
+    return d.select("item_id", fx.numbered(F.col("split"), F.col("n")).alias("code"))
 
 
 @query(f"WITH {CANDIDATES} SELECT item_id, split FROM c WHERE rn = 1")
 def priority_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "eval_pairs").select("item_id", "split", "category", F.lower(fx.normalize_plain("kk")).alias("k"), priority().alias("p"))
-    return dedup.keep_first(d, ["k"], ["p", "split", "item_id"]).select("item_id", "split")
+    return candidates(table(spark, sf, "eval_pairs")).select("item_id", "split")
 
 
-@query(f"WITH {CANDIDATES} SELECT item_id, printf('%s-%05d', split, row_number() OVER (PARTITION BY split ORDER BY item_id)) AS code FROM c WHERE rn = 1")
+@query(f"WITH {CANDIDATES} SELECT item_id, printf('%s-%05d', split, row_number() OVER (ORDER BY p, item_id) - 1) AS code FROM c WHERE rn = 1")
 def benchmark_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    d = priority_dedup(spark, sf)
-    return d.select("item_id", fx.numbered(F.col("split"), F.row_number().over(Window.partitionBy("split").orderBy("item_id"))).alias("code"))
+    return numbered_candidates(table(spark, sf, "eval_pairs"))
 
 
 @query("SELECT split, category, count(*) AS n FROM eval_pairs GROUP BY split, category")
@@ -227,22 +241,22 @@ def duplicate_index(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.duplicate_keys(table(spark, sf, "translations").where("status = 'ok'"), "line_index")
 
 
-EXPECT = "exp AS (SELECT pair_id AS line_index, coalesce(kk, '') AS want FROM pairs WHERE coalesce(kk, '') <> '')"
+EXPECT = f"exp AS (SELECT pair_id AS line_index, regexp_replace(coalesce(kk, ''), '{ENDS}', '', 'g') AS want FROM pairs WHERE regexp_replace(coalesce(kk, ''), '{ENDS}', '', 'g') <> '')"
 
 
 def expected(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pairs").select(F.col("pair_id").alias("line_index"), fx.text("kk").alias("source")).where("source <> ''")
+    return table(spark, sf, "pairs").select(F.col("pair_id").alias("line_index"), fx.strip("kk").alias("source")).where("source <> ''")
 
 
-@query(f"""WITH {EXPECT}, j AS (SELECT t.*, e.want, e.line_index IS NOT NULL AS there, e.line_index IS NOT NULL AND coalesce(t.status = 'ok', false) AS good,
- regexp_replace(coalesce(t.source, ''), '{ENDS}', '', 'g') AS s2, regexp_replace(coalesce(t.translation, ''), '{ENDS}', '', 'g') AS o2 FROM translations t LEFT JOIN exp e USING (line_index)),
- k AS (SELECT *, row_number() OVER (PARTITION BY line_index ORDER BY CASE WHEN good THEN 0 ELSE 1 END, record_id) AS rn FROM j),
- m AS (SELECT count(*) AS missing, min(line_index) AS first_missing FROM exp WHERE line_index NOT IN (SELECT line_index FROM translations WHERE status = 'ok' AND line_index IS NOT NULL))
- SELECT (SELECT count(*) FROM exp) AS expected, count(*) AS records, count(*) FILTER (NOT there) AS out_of_range, count(*) FILTER (there AND source IS DISTINCT FROM want) AS source_mismatch,
- count(*) FILTER (good AND rn > 1) AS duplicate, count(*) FILTER (there AND NOT good) AS errors, count(*) FILTER (good) AS ok, count(*) FILTER (good AND o2 = '') AS empty,
- count(*) FILTER (good AND o2 <> '' AND o2 = s2) AS same, (SELECT missing FROM m) AS missing, (SELECT first_missing FROM m) AS first_missing, false AS valid FROM k""")
+@query(f"""WITH {EXPECT}, j AS (SELECT t.line_index, e.line_index IS NOT NULL AS there, e.line_index IS NOT NULL AND coalesce(t.status = 'ok', false) AS good, want,
+  regexp_replace(coalesce(t.source, ''), '{ENDS}', '', 'g') AS s, regexp_replace(coalesce(t.translation, ''), '{ENDS}', '', 'g') AS o FROM translations t LEFT JOIN exp e USING (line_index)),
+ m AS (SELECT count(*) AS missing, min(line_index) AS first_missing FROM exp WHERE line_index NOT IN (SELECT line_index FROM translations WHERE line_index IS NOT NULL)),
+ k AS (SELECT (SELECT count(*) FROM exp) AS expected, count(*) AS records, count(*) FILTER (NOT there) AS out_of_range, count(*) FILTER (there AND s <> want) AS source_mismatch,
+  count(*) FILTER (there AND NOT good) AS errors, count(*) FILTER (good) AS ok, count(*) FILTER (good AND o = '') AS empty, count(*) FILTER (good AND s <> '' AND s = o) AS same,
+  count(*) FILTER (there) - count(DISTINCT line_index) FILTER (there) AS duplicate, count(DISTINCT line_index) FILTER (there) AS unique_indexes, any_value(missing) AS missing, any_value(first_missing) AS first_missing FROM j, m)
+ SELECT *, out_of_range + source_mismatch + errors + empty + same + duplicate + missing = 0 AND records = expected AND ok = expected AND unique_indexes = expected AS valid FROM k""")
 def shard_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return shards.validation(table(spark, sf, "translations"), expected(spark, sf), ["record_id"], "line_index")
+    return shards.validation(table(spark, sf, "translations"), expected(spark, sf), "line_index")
 
 
 @query(f"WITH {EXPECT} SELECT line_index FROM exp WHERE line_index NOT IN (SELECT line_index FROM translations WHERE status = 'ok' AND line_index IS NOT NULL)")

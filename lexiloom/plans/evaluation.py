@@ -62,7 +62,7 @@ def char_grams(words: int) -> str:
 
 def chrf_stats(spark: SparkSession, sf: str, words: int) -> DataFrame:
     h = hypotheses(spark, sf)
-    c = metrics.gram_rows(h, ["item_id", "system"], metrics.chars(F.array_join("h", " ")), metrics.chars(F.array_join("r", " ")), metrics.CHARS, "")
+    c = metrics.gram_rows(h, ["item_id", "system"], metrics.chars(F.array_join("h", " ")), metrics.chars(F.array_join("r", " ")), metrics.CHARS)
     if words:
         w = metrics.gram_rows(h, ["item_id", "system"], F.col("h"), F.col("r"), words)
         c = c.unionByName(w.withColumn("n", F.col("n") + 10))
@@ -86,12 +86,41 @@ def ter(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.ter(d, ["system"], "h", "r")
 
 
-@query()
+def tokens_13a_sql(c: str) -> str:
+    for x, y in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, '{x}', '{y}')"
+    c = f"(' ' || {c} || ' ')"
+    for x, y in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        c = f"regexp_replace({c}, '{x}', '{y}', 'g')"
+    return f"[w FOR w IN string_split_regex({c}, '\\s+') IF w <> '']"
+
+
+H13, R13 = (tokens_13a_sql(f"array_to_string({c}, ' ')") for c in "hr")
+GRAMS_13A = GRAMS.replace(" o AS (", f" hyp0 AS (SELECT item_id, split, system, {H13} AS h, {R13} AS r FROM hyp), o AS (", 1).replace("FROM hyp, o", "FROM hyp0, o")
+
+
+@query(f"WITH {GRAMS_13A}, st1 AS (SELECT *, 1 AS k FROM st), {BLEU.format('system', 'st1')} SELECT system, round(bleu, 6) AS bleu FROM bl")
 def bleu_13a(spark: SparkSession, sf: str) -> DataFrame:
     """BLEU over the 13a tokens of the joined texts."""
     h = hypotheses(spark, sf)
     s = metrics.gram_rows(h, ["item_id", "system"], metrics.tokens_13a(F.array_join("h", " ")), metrics.tokens_13a(F.array_join("r", " ")), metrics.ORDERS)
-    return metrics.bleu(s, ["system"])
+    return metrics.bleu(s, ["system"]).select("system", F.round("bleu", 6).alias("bleu"))
+
+
+@query(f"""WITH b AS (WITH {GRAMS}, st1 AS (SELECT *, 1 AS k FROM st), {BLEU.format('system', 'st1')} SELECT system, round(bleu, 6) AS score FROM bl),
+ c AS (WITH {char_grams(2)} SELECT system, round(100 * avg(f), 6) AS score FROM f GROUP BY system)
+ SELECT 'bleu' AS metric, round(x.score - y.score, 6) AS delta FROM b x, b y WHERE x.system = 'a' AND y.system = 'b' UNION ALL
+ SELECT 'chrf_pp', round(x.score - y.score, 6) FROM c x, c y WHERE x.system = 'a' AND y.system = 'b'""")
+def metric_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """How much better system a scores than b, by metric."""
+    d = bleu(spark, sf).join(chrf_pp(spark, sf), "system")
+    return metrics.deltas(d, "a", "b", ["bleu", "chrf_pp"]).select("metric", F.round("delta", 6).alias("delta"))
+
+
+@query()
+def ter_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of TER, where less is better."""
+    return metrics.deltas(ter(spark, sf), "a", "b", ["ter"])
 
 
 @query(f"WITH {HYPS} SELECT system, round(sum(len(h)) / sum(len(r)), 9) AS ratio, count(*) FILTER (len(h) = 0) AS empty FROM hyp GROUP BY system")

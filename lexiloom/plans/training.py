@@ -189,10 +189,8 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
     schema = spark.read.parquet(f"{sf}/mono_docs.parquet").schema
-    s = jobs.source(spark, f"{sf}/mono_docs.parquet*", schema)
-    d = s.select(F.coalesce("source_file", F.lit("")).alias("name"), fx.sentence_key("text").alias("k")).dropDuplicates(["name", "k"])
-    name = "dedup_" + folder(spark, "q").rsplit("-", 1)[1]
-    out = jobs.drain(d, name, folder(spark, "stream"))
+    s = jobs.source(spark, f"{sf}/mono_docs.parquet*", schema).withColumn("name", F.coalesce("source_file", F.lit("")))
+    out = jobs.drain(jobs.deduplicated(s, "text", by=["name"]).select("name"), folder(spark, "stream"))
     return out.groupBy("name").agg(F.count("*").alias("n"))
 
 
@@ -202,6 +200,5 @@ def stream_runlog(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
     s = jobs.source(spark, f"{sf}/events.parquet*", spark.read.parquet(f"{sf}/events.parquet").schema)
-    name = "log_" + folder(spark, "q").rsplit("-", 1)[1]
-    out = jobs.drain(jobs.run_log(s, "event_type", "value"), name, folder(spark, "stream"), "complete")
+    out = jobs.drain(jobs.run_log(s, "event_type", "value"), folder(spark, "stream"), "complete")
     return out.select("event_type", "n", F.round("total", 4).alias("total"), "least", "most")

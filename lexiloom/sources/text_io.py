@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,14 @@ def lines(spark: SparkSession, paths, indexed: bool = False) -> DataFrame:
     d = spark.read.text(paths).select(F.col("_metadata.file_name").alias("origin"), F.make_valid_utf8("value").alias("value"))
     if not indexed:
         return d
-    rows = d.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(rows, "origin string, value string, index long")
+    from ..operators.durable import written
+
+    place = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i")]
+    d = written(spark.read.text(paths).select(F.col("_metadata.file_name").alias("origin"), F.make_valid_utf8("value").alias("value"), *place))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block of a file
+    start = d.groupBy("_f", "_b").agg(F.count("*").alias("_n")).select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i")) - 1
+    return d.join(F.broadcast(start), ["_f", "_b"]).select("origin", "value", (F.col("_s") + inside).alias("index"))
 
 
 def pairs(spark: SparkSession, paths, columns: str = "first", bad: str = "skip", indexed: bool = False) -> DataFrame:
@@ -58,6 +65,17 @@ def monolingual(spark: SparkSession, paths) -> DataFrame:
     return lines(spark, paths).select(fx.collapse("value").alias("src"), F.lit("").alias("tgt")).where("src <> ''")
 
 
+def column_pairs(d: DataFrame, a: str, b: str) -> DataFrame:
+    """(src, tgt) of two columns of a table: null as empty, outer white space off, pairs with an
+    empty side out."""
+    return d.select(fx.strip(a).alias("src"), fx.strip(b).alias("tgt")).where("src <> '' AND tgt <> ''")
+
+
+def dataset_rows(spark: SparkSession, path: str, config: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Rows of a data set kept as files, of one configuration (a folder of its own) if given."""
+    return spark.read.format(fmt).load(f"{path}/{config}" if config else path)
+
+
 def indexed_sources(spark: SparkSession, paths, start: int = 0, limit: int = 0) -> DataFrame:
     """(index, source): the first column of non-empty lines within [start, start + limit)."""
     d = lines(spark, paths, indexed=True).select("index", fx.strip(F.split("value", "\t", 2)[0]).alias("source"))
@@ -94,9 +112,9 @@ def recovered(records: DataFrame) -> DataFrame:
     return keep_first(d.where(usable), ["index"], ["shard", "line"]).drop("_corrupt_record", "_last", "line")
 
 
-def csv_documents(spark: SparkSession, paths, schema: str) -> DataFrame:
+def csv_documents(spark: SparkSession, paths, schema: str, **options) -> DataFrame:
     """Documents of CSV files with a header and line breaks in quotes, a byte-order mark ignored."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(paths)
+    return spark.read.schema(schema).options(**options).option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(paths)
 
 
 def junit(spark: SparkSession, path: str) -> DataFrame:
@@ -107,9 +125,28 @@ def junit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, paths) -> DataFrame:
-    """(path, size, modified, sha256) of files."""
-    d = spark.read.format("binaryFile").load(paths)
-    return d.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, modified, sha256) of files; digests are taken in blocks, so a file of any
+    length needs little memory."""
+    d = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    n = max(1, min(d.count(), spark.sparkContext.defaultParallelism * 4))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow.fs as pafs
+
+        for b in batches:
+            digests = []
+            for p in b.column("path").to_pylist():
+                fs, name = (pafs.LocalFileSystem(), p.removeprefix("file:")) if p.startswith("file:") else pafs.FileSystem.from_uri(p)
+                h = hashlib.sha256()
+                with fs.open_input_stream(name, compression=None) as f:
+                    while block := f.read(1 << 22):
+                        h.update(block)
+                digests.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], names=["path", "size", "modified", "sha256"])
+
+    return d.repartition(n, "path").mapInArrow(run, "path string, size long, modified timestamp, sha256 string")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -151,6 +188,13 @@ def write_jsonl(df: DataFrame, path: str, files: int = 0, compressed: bool = Fal
     replace_atomically(d, path, "json", **({"compression": "gzip"} if compressed else {}))
 
 
+def write_hypotheses(hyps: DataFrame, scores: DataFrame, path: str, index: str = "index", text: str = "hypothesis") -> None:
+    """Hypotheses, one a line in the order of their index, and their metrics as one JSON object."""
+    d = hyps.select(index, F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " ").alias("value"))
+    replace_atomically(d.repartitionByRange(index).sortWithinPartitions(index).select("value"), f"{path}/hypotheses", "text")
+    write_manifest(scores, f"{path}/metrics")
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -47,11 +47,49 @@ def test_validation(spark):
     r = spark.createDataFrame(
         [(0, "wrong", "x", "ok", 1), (0, "one", "x", "ok", 2), (1, "two", " ", "ok", 3), (9, "?", "y", "ok", 4), (2, "three", None, "error", 5)], RECORDS
     )
-    v = shards.validation(r, e, ["record_id"]).first().asDict()
-    want = dict(expected=3, records=5, out_of_range=1, source_mismatch=1, duplicate=1, errors=1, ok=3, empty=1, same=0, missing=1, first_missing=2, valid=False)
+    v = shards.validation(r, e).first().asDict()
+    want = dict(expected=3, records=5, out_of_range=1, source_mismatch=1, duplicate=1, errors=1, ok=3, empty=1, same=0, unique_indexes=3, missing=0, first_missing=None, valid=False)
     assert v == want
-    good = spark.createDataFrame([(0, "one", "a", "ok", 1), (1, "two", "b", "ok", 2), (2, "three", "c", "ok", 3)], RECORDS)
-    assert shards.validation(good, e, ["record_id"]).first().valid
+    good = [(0, "one", "a", "ok", 1), (1, " two\t", "b", "ok", 2), (2, "three", "c", "ok", 3)]
+    assert shards.validation(spark.createDataFrame(good, RECORDS), e).first().valid
+    for bad, name in (
+        ((0, "one", " one ", "ok", 1), "same"),
+        ((0, "one", None, "error", 1), "errors"),
+        ((0, "one", " ", "ok", 1), "empty"),
+        ((5, "one", "a", "ok", 1), "missing"),
+    ):
+        v = shards.validation(spark.createDataFrame([bad, *good[1:]], RECORDS), e).first()
+        assert v[name] == 1 and not v.valid
+    # a repeat counts whatever its status, and a failed record is no missing one
+    v = shards.validation(spark.createDataFrame([*good, (0, "one", None, "error", 4)], RECORDS), e).first()
+    assert (v.duplicate, v.errors, v.missing, v.valid) == (1, 1, 0, False)
+    v = shards.validation(spark.createDataFrame([], RECORDS), e).first()
+    assert (v.records, v.missing, v.first_missing, v.valid) == (0, 3, 0, False)
+
+
+def test_strict_hypotheses(spark):
+    refs = spark.createDataFrame([(0, "one", "эк"), (1, "two", "до")], "index long, source string, reference string")
+    good = [(0, "one", " a ", "ok", 1), (1, "two", "b", "ok", 2)]
+    of = lambda rows: shards.strict_hypotheses(spark.createDataFrame(rows, RECORDS), refs).collect()
+    assert {r["index"]: r.hypothesis for r in of(good)} == {0: "a", 1: "b"}
+    for rows, what in (
+        ([*good, (7, "x", "y", "ok", 3)], "index 7: outside"),
+        ([good[0], (1, "too", "b", "ok", 2)], "index 1: another"),
+        ([good[0], (1, "two", "b", "error", 2)], "index 1: failed"),
+        ([good[0], (1, "two", "  ", "ok", 2)], "index 1: failed"),
+        ([*good, (1, "two", "c", "ok", 3)], "index 1: repeated"),
+        ([good[0]], "index 1: missing"),
+    ):
+        with pytest.raises(Exception, match=what):
+            of(rows)
+
+
+def test_candidates_in_the_order_of_splits(spark):
+    from lexiloom.plans import corpus
+
+    rows = [(1, "gold_long", "Бір"), (2, "gold_medium", "бір"), (3, "gold_short", "БІР"), (4, "mono_short", "екі"), (5, "devtest", "үш"), (6, "gold_long", " "), (7, "dev", None), (8, "dev", "төрт"), (9, "mono_long", "үш")]
+    d = spark.createDataFrame(rows, "item_id long, split string, kk string")
+    assert {r.item_id: r.code for r in corpus.numbered_candidates(d).collect()} == {8: "dev-00000", 5: "devtest-00001", 3: "gold_short-00002", 4: "mono_short-00003"}
 
 
 def test_compaction_and_remaining(spark):
@@ -89,7 +127,7 @@ def test_sequences(spark):
 def scores(spark, h, r):
     d = spark.createDataFrame([(0, h, r)], "i int, h string, r string").select("i", F.split("h", " ").alias("h"), F.split("r", " ").alias("r"))
     b = metrics.bleu(metrics.gram_rows(d, ["i"], F.col("h"), F.col("r"), 4), ["i"]).first().bleu
-    c = metrics.gram_rows(d, ["i"], metrics.chars(F.array_join("h", " ")), metrics.chars(F.array_join("r", " ")), 6, "")
+    c = metrics.gram_rows(d, ["i"], metrics.chars(F.array_join("h", " ")), metrics.chars(F.array_join("r", " ")), 6)
     return b, metrics.f_score(c, ["i"], "chrf").first().chrf
 
 
@@ -106,6 +144,23 @@ def test_ter_shifts():
     assert metrics.ter_edits([], "a b".split()) == 2
 
 
+def test_grams_are_clipped(spark):
+    d = spark.createDataFrame([(1, ["a", "a", "a", "b"], ["a", "a", "c"]), (2, [], ["a"]), (3, None, None)], "i int, h array<string>, r array<string>")
+    got = {(r.i, r.n): (r.matched, r.hyp_total, r.ref_total) for r in metrics.gram_rows(d, ["i"], F.col("h"), F.col("r"), 2).collect()}
+    assert got == {(1, 1): (2, 4, 3), (1, 2): (1, 3, 2), (2, 1): (0, 0, 1), (2, 2): (0, 0, 0), (3, 1): (0, 0, 0), (3, 2): (0, 0, 0)}
+
+
+def test_deltas_turn_round_where_less_is_better(spark):
+    d = spark.createDataFrame([("a", 20.0, 60.0), ("b", 18.0, 65.0)], "system string, bleu double, ter double")
+    assert {r.metric: r.delta for r in metrics.deltas(d, "a", "b", ["bleu", "ter"]).collect()} == {"bleu": 2.0, "ter": 5.0}
+
+
+def test_vocabulary_check():
+    sq.check_vocabulary(8, 8)
+    with pytest.raises(ValueError, match="8 pieces"):
+        sq.check_vocabulary(8, 9)
+
+
 def test_matches_count_repeats(spark):
     d = spark.createDataFrame([(["a", "a", "b"], ["a", "a", "a", "c"])], "h array<string>, r array<string>")
     assert d.select(metrics.matches(F.col("h"), F.col("r")).alias("m")).first().m == 2

@@ -9,7 +9,7 @@ def test_dedup_over_arrivals(spark, tmp_path):
     schema = "i int, sentence string"
     spark.createDataFrame([(1, "Бір"), (2, "БІР"), (3, "екі")], schema).coalesce(1).write.parquet(src)
     s = jobs.deduplicated(jobs.source(spark, src, schema), "sentence")
-    assert jobs.drain(s, "dd", str(tmp_path / "c")).count() == 2
+    assert jobs.drain(s, str(tmp_path / "c")).count() == 2
 
 
 def test_incremental_map_adds_nothing_twice(spark, tmp_path):
@@ -27,5 +27,5 @@ def test_windowed_log(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "ts timestamp, k string, v double"
     spark.range(4).select(F.timestamp_seconds(F.col("id") * 1800).alias("ts"), F.lit("a").alias("k"), F.lit(1.0).alias("v")).write.parquet(src)
-    got = jobs.drain(jobs.windowed_log(jobs.source(spark, src, schema), "ts", "k", "v"), "wl", str(tmp_path / "c"), "complete")
+    got = jobs.drain(jobs.windowed_log(jobs.source(spark, src, schema), "ts", "k", "v"), str(tmp_path / "c"), "complete")
     assert sorted(r.n for r in got.collect()) == [2, 2]
