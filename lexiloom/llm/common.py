@@ -54,14 +54,16 @@ def word_hashes(c: str | Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set
-    (local sessions, tests)."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a folder of our own in a local
+    session and an error on a cluster, whose executors share no local folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 12
+BLOCK_BYTES = 64 << 20  # of passages, on average of the blocks
 BLOCK = 20_000
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"<[^<>]*>")
@@ -69,7 +70,8 @@ class Matcher:
 
 def leaks(docs: DataFrame, passages: DataFrame, id_col="doc_id", text="text", passage_id="passage_id", passage_text="text", length: int = LENGTH) -> DataFrame:
     """(doc id, passage id): documents and passages that share at least ``length`` words in a row."""
-    blocks = max(1, -(-passages.count() // BLOCK))
+    size = passages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(passage_text)), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size.n // BLOCK), -(-size.b // BLOCK_BYTES))
     d = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).alias("_t"))
     p = passages.select(F.col(passage_id).cast("long").alias("p"), F.col(passage_text).alias("t"))
     out = None

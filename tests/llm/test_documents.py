@@ -32,7 +32,9 @@ def test_empty_and_null_give_no_ids(spark, encoder):
     assert bpe.encode(d.limit(0)).count() == 0
 
 
-def test_passages_agree_with_brute_force(spark):
+@pytest.mark.parametrize("block", [20_000, 5])
+def test_passages_agree_with_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
     r = random.Random(2)
     words = [f"w{i}" for i in range(15)]
     ps = [(i, " ".join(r.choice(words) for _ in range(r.randrange(8, 40)))) for i in range(12)]
