@@ -33,11 +33,6 @@ def text(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def words(c: str | Column) -> Column:
-    """Array of the words of a text; empty for null and for texts without words."""
-    return F.filter(F.split(F.lower(text(c)), NOT_WORD), lambda w: w != "")
-
-
 def letters_digits(c: str | Column) -> Column:
     """The letters and digits of a text in lower case, everything else removed."""
     return F.regexp_replace(F.lower(text(c)), NOT_WORD, "")
@@ -48,11 +43,6 @@ def word_list(t: str | None) -> list[str]:
     return WORD.findall(t.lower()) if t else []
 
 
-def word_hashes(c: str | Column) -> Column:
-    """32-bit hashes of the words of a text, in order."""
-    return F.transform(words(c), lambda w: F.hash(w))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where none is set, a folder of our own in a local
     session and an error on a cluster, whose executors share no local folder."""
