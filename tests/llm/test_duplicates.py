@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from lexiloom.llm import formatting, neardup, overlap, setjoin
+from lexiloom.llm import encoding, formatting, neardup, overlap, setjoin
 
 
 def likeness(a, b):
@@ -75,6 +75,26 @@ def test_near_pairs_agree_with_brute_force(pairs):
         assert n == len({cls[j if k == i else k][0] for j, k in map(tuple, got) if i in (j, k)})
 
 
+def test_near_pairs_of_frequent_words_are_whole(pairs, monkeypatch):
+    """Rows that share frequent words and differ in rare ones are all found, with and without keys of two words."""
+    kk = " ".join(f"сөз{i}" for i in range(20))
+    ru = " ".join(f"слово{i}" for i in range(20))
+    rows = [(i, f"{kk} есім{i}", f"{ru} имя{i}") for i in range(40)] + [(100 + i, " ".join(f"өзге{i}а{j}" for j in range(30)), "") for i in range(40)]
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40)}
+    assert {tuple(r) for r in neardup.near_pairs(pairs(rows)).collect()} == want
+    monkeypatch.setattr(setjoin, "FEW", 3)
+    assert {tuple(r) for r in neardup.near_pairs(pairs(rows)).collect()} == want
+
+
+def test_garbled_rows_are_those_of_problem_1(pairs, kazakh):
+    """Judging the members' cells only leaves the same rows as judging all cells."""
+    p = pairs([(i, f"{kk} {kk}", f"{ru} {ru}") for i, kk, ru in kazakh] + [(900 + i, f"{kk} {kk}", f"\ufffd {ru} {ru}") for i, kk, ru in kazakh[:4]])
+    _, members = neardup.links(p)
+    bad = {r.pair_id for r in encoding.found(p).collect()}
+    all_ids = {r.pair_id for r in members.collect()}
+    assert {r.pair_id for r in neardup.without_garbled(p, members).collect()} == all_ids - bad and all_ids & bad
+
+
 def test_cross_split_agrees_with_brute_force(pairs, spark):
     t = texts(5, 160, (8, 30))
     e = [(i, t[i], t[i + 1] if i % 4 else "") for i in range(0, 40)] + [(99, None, "қысқа")]
